@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import exact_dedup, mixing, sharding
-from larkspur.llm.common import read_table
+from larkspur.llm import exact_dedup, line_crf, mixing, packing, pii, quality_rules, sharding, wavelet
+from larkspur.llm.common import fresh_path, read_table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,30 @@ SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, s
 """
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return line_crf.score(docs, line_crf.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents"))
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "wavelet")
+    wavelet.write_shards(read_table(spark, sf_dir, "documents"), path, tokenizer="byte_bpe_50k.json")
+    return wavelet.documents_of(spark, path)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.sample_to_targets(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -74,6 +98,11 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
+    "op5_packing": op5_packing,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_pii": op7_pii,
+    "op8_token_output": op8_token_output,
+    "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op10_mixing": OP10_SQL}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import exact_dedup, line_crf, mixing, packing, pii, quality_rules, sharding, wavelet
+import corpus_pipeline
+from larkspur.llm import exact_dedup, line_crf, mixing, near_dup, packing, pii, quality_rules, sharding, substring_dedup, wavelet
 from larkspur.llm.common import fresh_path, read_table
 
 
@@ -36,6 +37,14 @@ SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, s
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json")
 
@@ -98,11 +107,16 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_packing": op5_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_pii": op7_pii,
     "op8_token_output": op8_token_output,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op10_mixing": OP10_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.tokens import END_ID, encode_batches
+from larkspur.llm.tokens import encode_batches
 
 LONGEST = 4096
 
@@ -38,18 +38,16 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: str = "d
     """A row per piece: identifier, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``with_ids`` the ids in binary."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
-            for lo, codes in encode_batches(batch, "text", tokenizer):
+            for lo, found, counts in encode_batches(batch, "text", tokenizer):
+                code, at_doc = found.astype("<u4").tobytes(), 0
                 row, start, length, crc, total, ids = [], [], [], [], [], []
-                for i, code in enumerate(codes):
-                    code += end
-                    n = len(code) // 4
+                for i, n in enumerate(counts.tolist()):
                     for at, size in cuts(n, longest):
-                        piece = code[4 * at : 4 * (at + size)]
+                        piece = code[4 * (at_doc + at) : 4 * (at_doc + at + size)]
                         row.append(lo + i)
                         start.append(at)
                         length.append(size)
@@ -57,6 +55,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: str = "d
                         total.append(n)
                         if with_ids:
                             ids.append(piece)
+                    at_doc += n
                 numbers = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
                 columns = [keys.take(pa.array(row, pa.int64())), *numbers, *([pa.array(ids, pa.binary())] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import partitions
-from larkspur.llm.tokens import END_ID, encode_batches, encoder
+from larkspur.llm.tokens import encode_batches, encoder
 
 SHARD_TOKENS = 1 << 19
 BLOCK = 4096
@@ -122,7 +122,6 @@ class WaveletMatrix:
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode all documents and write their shards as one compressed file for each range of identifiers."""
-    end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, base = TaskContext.get().partitionId(), 0, 0
@@ -130,7 +129,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
         ids, lengths, codes, have = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            matrix = WaveletMatrix.build(np.frombuffer(b"".join(codes), "<u4"), bits)
+            matrix = WaveletMatrix.build(np.concatenate(codes), bits)
             row = {
                 "part": part, "shard": shard, "base": base, "n_tokens": matrix.n, "bits": bits, "doc_ids": list(ids), "lengths": list(lengths),
                 "zeros": matrix.zeros, "ones": [o.tobytes() for o in matrix.ones], "planes": [p.tobytes() for p in matrix.planes],
@@ -140,12 +139,17 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for lo, found in encode_batches(batch, "text", tokenizer):
-                for i, code in enumerate(found):
-                    ids.append(keys[lo + i])
-                    lengths.append(len(code) // 4 + 1)
-                    codes.append(code + end)
-                    have += lengths[-1]
+            for lo, found, counts in encode_batches(batch, "text", tokenizer):
+                at, ends = 0, np.cumsum(counts)
+                while at < len(counts):
+                    # As many documents as reach the size of a shard, at least one.
+                    begin = ends[at] - counts[at]
+                    to = min(len(counts), max(at + 1, int(np.searchsorted(ends, begin + shard_tokens - have, "left")) + 1))
+                    ids += keys[lo + at : lo + to]
+                    lengths += counts[at:to].tolist()
+                    codes.append(found[begin : ends[to - 1]])
+                    have += int(ends[to - 1] - begin)
+                    at = to
                     if have >= shard_tokens:
                         yield flush()
                         shard, base = shard + 1, base + have

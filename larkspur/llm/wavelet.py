@@ -54,9 +54,9 @@ class WaveletMatrix:
         for b in range(bits - 1, -1, -1):
             bit = (order >> b) & 1 != 0
             planes.append(np.packbits(bit).tobytes())
-            low = order[~bit]
+            low = np.flatnonzero(~bit)
             zeros.append(len(low))
-            order = np.concatenate([low, order[bit]])
+            order = np.concatenate([order[low], order[np.flatnonzero(bit)]])
         return cls(len(ids), planes, zeros)
 
     def decode(self) -> np.ndarray:
@@ -65,8 +65,8 @@ class WaveletMatrix:
         for b, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             bit = np.unpackbits(plane, count=self.n).view(bool)
             up = np.empty_like(out)
-            up[~bit] = out[:zeros]
-            up[bit] = out[zeros:] | (1 << b)
+            up[np.flatnonzero(~bit)] = out[:zeros]
+            up[np.flatnonzero(bit)] = out[zeros:] | (1 << b)
             out = up
         return out
 

@@ -1,19 +1,24 @@
 """Connected components of a graph of any size, by minimum labels and pointer jumping.
 
-Edges are first thinned to a forest inside each partition. Each round then gives a node the least label among
-itself and its neighbours and replaces that label by its own label, so distances halve; the rounds are written
-to the shared folder. A hub's edges are summed with partial aggregation, and its joins can be split by Spark.
+Edges are first thinned to a forest inside each partition, then, dealt to as few partitions as ``TOGETHER`` edges
+each allow, once more: what is left is a few edges for each node, however many edges a dense group had. Each round
+then gives a node the least label among itself and its neighbours and replaces that label by its own label, so
+distances halve; the rounds are written to the shared folder. A hub's edges are summed with partial aggregation,
+and its joins can be split by Spark.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import stage
+from larkspur.llm.common import partitions, stage
+
+TOGETHER = 400_000
 
 
 class Forest:
@@ -54,8 +59,10 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of the edges (a, b); the root is the least node. Staged."""
     thin = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_thin, "a long, b long")
-    thin = thin.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    thin = stage(thin, "edges")
+    thin = stage(thin.filter("a <> b"), "edges")
+    few = math.ceil(thin.count() / TOGETHER)
+    if few <= partitions(edges.sparkSession):
+        thin = stage(thin.repartition(max(1, few)).mapInArrow(_thin, "a long, b long"), "edges")
     both = thin.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(thin.select("b", "a"))
     label = stage(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("src"), F.min("dst")).alias("root")), "labels")
     for _ in range(most_rounds):

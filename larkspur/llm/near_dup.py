@@ -126,7 +126,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
             pending += [s for s in sets if len(s)]
             have += sum(map(len, sets))
-            if have > 4_000_000:
+            if have > 3_000_000:
                 yield hot()
                 pending, have = [], 0
     if pending:
@@ -163,7 +163,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = start[length == m]
             if m <= LIST:
                 i, j = np.triu_indices(m, 1)
-                step = max(1, 2_000_000 // len(i))
+                step = max(1, 300_000 // len(i))
                 for k in range(0, len(at), step):
                     a, b = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
                     fit = 5 * n[a] >= 4 * n[b]
@@ -184,7 +184,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in work(token, key, n):
             found.append(rows)
             size += len(rows)
-            if size > 1_000_000:
+            if size > 400_000:
                 yield flush()
                 found, size = [], 0
 
@@ -336,8 +336,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("a", "b", "sa", "sb", F.least("na", "nb").alias("n"))
         .mapInArrow(_similar_sketches, "a long, b long")
     )
-    family = components(pairs.filter("sure").select("a", "b").unionAll(open_pairs))
-    links = components(_verified(texts, family, classes, block, parts))
+    alike = stage(open_pairs, "near-alike")
+    family = components(pairs.filter("sure").select("a", "b").unionAll(alike))
+    links = components(stage(_verified(texts, family, classes, block, parts), "near-links"))
 
     least = links.join(classes, links.node == classes.key).groupBy("root").agg(F.min("rep").alias("least"))
     moved = links.join(least, "root").select(F.col("node").alias("key"), "least")

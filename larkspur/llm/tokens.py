@@ -89,7 +89,7 @@ class Table:
 
 
 class Encoder:
-    def __init__(self, name: str, most: int = 3_000_000):
+    def __init__(self, name: str, most: int = 800_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 

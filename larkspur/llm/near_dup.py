@@ -10,8 +10,9 @@ link from a Jaccard similarity of 0.8 on. The search divides inverted lists into
    share one of the first n - ceil(0.8 n) + 1 shingles of both; only these are indexed, by shingle.
 3. Spark's sort merges the short lists. Lists of up to ``LIST`` sets give pairs of fitting sizes, which stay if
    their sketches agree in 0.3 of the places (linked sets agree in 0.8 on average; a link is lost with a
-   probability under 1e-8). Longer lists, which only sets made of long-list shingles still have, join their
-   members to one family without listing pairs.
+   probability under 1e-8). Sets that share one of their first two shingles are given from that list alone, which
+   32 bits of each tell, so a pair comes about once and not once for each shingle that it shares. Longer lists, which
+   only sets made of long-list shingles still have, join their members to one family without listing pairs.
 4. Connected candidates form families. The members' sets are computed once more from their texts and searched in
    blocks of fitting sizes: for each set the short lists of its block are merged and counted, and candidates that
    can still reach the overlap are probed by binary search for the shingles of the long lists. Links are exact
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import mix, partitions, stage, text_chunks, window_hashes, word_hashes, word_spans
+from larkspur.llm.common import mix, partitions, stage, text_chunks, tidy, window_hashes, word_hashes, word_spans
 from larkspur.llm.components import components
 
 WORDS = 5
@@ -147,16 +148,34 @@ def prefix(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate([cold, head[long][order][: need - len(cold)]])
 
 
+_LOW = np.uint64(2**32 - 1)
+
+
+def tag(first: np.ndarray) -> int:
+    """The low halves of a set's first two indexed shingles."""
+    a, b = first[0] & _LOW, first[min(1, len(first) - 1)] & _LOW
+    return int(np.array([a | (b << np.uint64(32))]).view(np.int64)[0])
+
+
+def _said_here(token: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether a pair is to be given from this list: sets that share one of their first two shingles are given there alone."""
+    here = token.view(np.uint64) & _LOW
+    x, y = x.view(np.uint64), y.view(np.uint64)
+    x1, x2, y1, y2 = x & _LOW, x >> np.uint64(32), y & _LOW, y >> np.uint64(32)
+    shared = (x1 == y1) | (x1 == y2) | (x2 == y1) | (x2 == y2)
+    return ~shared | (((x1 == here) | (x2 == here)) & ((y1 == here) | (y2 == here)))
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (token, key, n), sorted: pairs of keys, and whether they come from a long list."""
+    """From (token, key, n, tag), sorted: pairs of keys, and whether they come from a long list."""
     rest = None
     found: list[np.ndarray] = []
     size = 0
 
-    def work(token: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+    def work(token: np.ndarray, key: np.ndarray, n: np.ndarray, tags: np.ndarray) -> Iterator[np.ndarray]:
         fresh = np.ones(len(token), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-        token, key, n = token[fresh], key[fresh], n[fresh]
+        token, key, n, tags = token[fresh], key[fresh], n[fresh], tags[fresh]
         start = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
         length = np.diff(np.append(start, len(token)))
         for m in np.unique(length[length > 1]):
@@ -166,7 +185,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 step = max(1, 300_000 // len(i))
                 for k in range(0, len(at), step):
                     a, b = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
-                    fit = 5 * n[a] >= 4 * n[b]
+                    fit = (5 * n[a] >= 4 * n[b]) & _said_here(token[a], tags[a], tags[b])
                     yield np.column_stack([np.minimum(key[a], key[b])[fit], np.maximum(key[a], key[b])[fit], np.zeros(fit.sum(), np.int64)])
             else:
                 for k in at:
@@ -179,17 +198,17 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] == 1)], names=["a", "b", "sure"])
 
-    def take(token: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def take(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         nonlocal found, size
-        for rows in work(token, key, n):
+        for rows in work(*columns):
             found.append(rows)
             size += len(rows)
-            if size > 400_000:
+            if size > 600_000:
                 yield flush()
                 found, size = [], 0
 
     for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         if rest is not None:
             columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
         if not len(columns[0]):
@@ -291,11 +310,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     parts = partitions(spark)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    profile = stage(texts.mapInArrow(_profile, "doc long, key long, n int, sketch binary"), "near-profile")
+    profile = stage(texts.mapInArrow(tidy(_profile), "doc long, key long, n int, sketch binary"), "near-profile")
     rows = profile.filter("sketch IS NOT NULL").select("doc", "key", "n", "sketch")
-    classes = stage(rows.filter("doc IS NOT NULL AND n > 0").groupBy("key").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "near-classes")
+    classes = stage(rows.filter("doc IS NOT NULL AND n > 0").groupBy("key").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), "near-classes")
 
-    floor = max(16.0, hot * rows.count() / 3)
+    total = rows.count()
+    floor = max(16.0, hot * total / 3)
     long = profile.filter("sketch IS NULL").groupBy("key").agg(F.sum("n").alias("df")).filter(F.col("df") >= floor)
     found = sorted((r["df"], r["key"]) for r in long.collect())
     tokens = np.array([k for _, k in found], np.int64).view(np.uint64)
@@ -307,7 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         seen: set[int] = set()
         for batch in batches:
             for lo, hi, buf, offs in text_chunks(batch, "text"):
-                token, key, n = [], [], []
+                token, key, n, tags = [], [], [], []
                 valid = batch.column(0).slice(lo, hi - lo).is_valid().to_pylist()
                 for s, ok in zip(shingle_sets(buf, offs), valid, strict=True):
                     k = set_key(s)
@@ -315,18 +335,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         continue
                     seen.add(k)
                     token.append(prefix(s, long_tokens, rank))
+                    tags.append(tag(token[-1]))
                     key.append(k)
                     n.append(len(s))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if token:
                     times = [len(t) for t in token]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array(key, np.int64), times)), pa.array(np.repeat(np.array(n, np.int32), times))], names=["token", "key", "n"]
-                    )
+                    lines = [np.concatenate(token).view(np.int64), *(np.repeat(np.array(x, k), times) for x, k in ((key, np.int64), (n, np.int32), (tags, np.int64)))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in lines], names=["token", "key", "n", "tag"])
 
-    index = texts.mapInArrow(indexed, "token long, key long, n int").repartition(parts, "token").sortWithinPartitions("token", "n", "key")
-    pairs = index.mapInArrow(_pairs, "a long, b long, sure boolean").distinct()
+    index = texts.mapInArrow(tidy(indexed), "token long, key long, n int, tag long").repartition(parts, "token").sortWithinPartitions("token", "n", "key")
+    pairs = index.mapInArrow(tidy(_pairs), "a long, b long, sure boolean").distinct()
     pairs = stage(pairs, "near-pairs")
     lean = classes.select("key", "sketch", "n")
     open_pairs = (
@@ -334,7 +354,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(lean.select(F.col("key").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a")
         .join(lean.select(F.col("key").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b")
         .select("a", "b", "sa", "sb", F.least("na", "nb").alias("n"))
-        .mapInArrow(_similar_sketches, "a long, b long")
+        .mapInArrow(tidy(_similar_sketches), "a long, b long")
     )
     alike = stage(open_pairs, "near-alike")
     family = components(pairs.filter("sure").select("a", "b").unionAll(alike))
@@ -342,10 +362,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     least = links.join(classes, links.node == classes.key).groupBy("root").agg(F.min("rep").alias("least"))
     moved = links.join(least, "root").select(F.col("node").alias("key"), "least")
-    final = classes.select("key", "rep").join(moved, "key", "left").select("key", F.coalesce("least", "rep").alias("component"))
-    return rows.join(final, "key", "left").select(
-        F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col("component"))).otherwise(F.col("doc")).alias("component_id")
+    final = classes.select("key", "rep", "copies").join(moved, "key", "left").select("key", "copies", F.coalesce("least", "rep").alias("component"))
+    # Sets that many documents have, of which there can be 4 a partition at most, don't take part in the shuffle.
+    often = F.col("copies") >= max(2.0, total / (4 * parts))
+    common = rows.join(F.broadcast(final.filter(often).select("key", F.col("component").alias("known"))), "key", "left")
+    found = common.filter("known IS NOT NULL").withColumnRenamed("known", "component").unionByName(
+        common.filter("known IS NULL").drop("known").join(final.filter(~often).select("key", "component"), "key", "left")
     )
+    linked_to = F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col("component"))).otherwise(F.col("doc"))
+    return found.select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), linked_to.alias("component_id"))
 
 
 def _verified(texts: DataFrame, family: DataFrame, classes: DataFrame, block: int, parts: int) -> DataFrame:
@@ -380,9 +405,9 @@ def _verified(texts: DataFrame, family: DataFrame, classes: DataFrame, block: in
                 out = pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "tasks", "blob"])
                 yield out.filter(same)
 
-    sets = texts.join(plan, "doc").select("text", "key", "tasks").mapInArrow(computed, "key long, tasks array<struct<task:long,side:int>>, blob binary")
+    sets = texts.join(plan, "doc").select("text", "key", "tasks").mapInArrow(tidy(computed), "key long, tasks array<struct<task:long,side:int>>, blob binary")
     dealt = sets.select(F.explode("tasks").alias("t"), "key", "blob").select("t.task", "t.side", "key", "blob")
-    return dealt.repartition(parts, "task").sortWithinPartitions("task", "key").mapInArrow(_search, "a long, b long")
+    return dealt.repartition(parts, "task").sortWithinPartitions("task", "key").mapInArrow(tidy(_search), "a long, b long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

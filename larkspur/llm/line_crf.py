@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import text_chunks, word_hashes, word_spans
+from larkspur.llm.common import text_chunks, tidy, word_hashes, word_spans
 from larkspur.llm.labelled import fold_of, labelled_sample, logit, platt, sigmoid
 
 SAMPLE_ROWS = 4000
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_r
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     sample = labelled_sample(docs, labels, label_col, sample_rows, id_col, text_col).select(F.col("id").cast("string"), "text", "label")
-    rows = sorted(sample.mapInArrow(run, "id string, label int, features binary, lengths binary").collect())
+    rows = sorted(sample.mapInArrow(tidy(run), "id string, label int, features binary, lengths binary").collect())
     width = 3 * _OWN
     parts = [np.frombuffer(r["features"], "<f4").reshape(-1, width).astype(float) for r in rows]
     if not parts:
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for lo, hi, buf, offs in text_chunks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(model.score(buf, offs))], names=["id", "score"])
 
-    scored = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, score double")
+    scored = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(tidy(run), f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), (fold_of(F.col("id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -220,4 +220,4 @@ def drop_low_quality(docs: DataFrame, model: Model, text_col: str = "text", thre
             for lo, hi, buf, offs in text_chunks(batch, text_col):
                 yield batch.slice(lo, hi - lo).filter(pa.array(model.score(buf, offs) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import tidy
 from larkspur.llm.tokens import encode_batches
 
 LONGEST = 4096
@@ -60,7 +61,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: str = "d
                 columns = [keys.take(pa.array(row, pa.int64())), *numbers, *([pa.array(ids, pa.binary())] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
 
-    pieces = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
+    pieces = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(tidy(run), schema)
     return pieces.select(
         F.col("id").alias(id_col),
         "start",

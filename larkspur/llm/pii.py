@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import stage, text_chunks
+from larkspur.llm.common import stage, text_chunks, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS = 5
@@ -153,7 +153,7 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     found.append([dict(zip(keys, x, strict=True)) for x in mentions(text, base)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span_t), pa.array(found, mention_t)], names=["id", "base", "mentions"])
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, base {_SPAN}, mentions {_MENTION}")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(tidy(run), f"id {kind}, base {_SPAN}, mentions {_MENTION}")
     return stage(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "pii-rows")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import _SPACE, mix, text_chunks, window_hashes, word_hashes, word_spans
+from larkspur.llm.common import mix, _SPACE, text_chunks, tidy, window_hashes, word_hashes, word_spans
 from larkspur.llm.labelled import labelled_sample, platt, sigmoid
 
 BUCKETS = 1 << 17
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_r
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "label", "b0", "f0", "b1", "f1"])
 
     sample = labelled_sample(docs, labels, label_col, sample_rows, id_col, text_col).select(F.col("id").cast("string"), "text", "label")
-    got = sorted(sample.mapInArrow(run, "id string, label int, b0 binary, f0 binary, b1 binary, f1 binary").collect())
+    got = sorted(sample.mapInArrow(tidy(run), "id string, label int, b0 binary, f0 binary, b1 binary, f1 binary").collect())
     rows = [([(np.frombuffer(r["b0"], "<i4"), np.frombuffer(r["f0"], "<f4")), (np.frombuffer(r["b1"], "<i4"), np.frombuffer(r["f1"], "<f4"))], r["label"]) for r in got]
     return train(rows)
 
@@ -187,4 +187,4 @@ def judge(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays(columns, names=["id", *names, "base_failed", "kept", "probability"])
 
     schema = f"id {kind}, {', '.join(f'{k} long' for k in names)}, base_failed boolean, kept boolean, probability double"
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)

@@ -194,5 +194,5 @@ def encoder(name: str) -> Encoder:
 
 def encode_batches(batch: pa.RecordBatch, column: str, name: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, counts) for runs of rows; a null text is empty."""
-    for lo, _, buf, offs in text_chunks(batch, column, 1 << 20):
+    for lo, _, buf, offs in text_chunks(batch, column):
         yield lo, *encoder(name).encode(buf, offs)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import partitions
+from larkspur.llm.common import partitions, tidy
 from larkspur.llm.tokens import encode_batches, encoder
 
 SHARD_TOKENS = 1 << 19
@@ -159,7 +159,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
     dealt = rows.repartitionByRange(partitions(docs.sparkSession), F.col("id").asc_nulls_first(), "_h").sortWithinPartitions(F.col("id").asc_nulls_first(), "_h", "text")
-    dealt.select("id", "text").mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
+    dealt.select("id", "text").mapInArrow(tidy(run), SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -186,7 +186,7 @@ def documents_of(spark: SparkSession, path: str) -> DataFrame:
                 columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(begins + row["base"]), pa.array(ends - begins), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read_shards(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_shards(spark, path).mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def occurrences(spark: SparkSession, path: str, token: int, most_per_shard: int | None = None) -> DataFrame:
@@ -201,4 +201,4 @@ def occurrences(spark: SparkSession, path: str, token: int, most_per_shard: int
                     columns = [pa.array([row["part"]], pa.int32()), pa.array([row["shard"]], pa.int32()), pa.array([count], pa.int64()), pa.array([places], pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays(columns, names=["part", "shard", "n", "positions"])
 
-    return read_shards(spark, path).mapInArrow(run, "part int, shard int, n long, positions array<long>")
+    return read_shards(spark, path).mapInArrow(tidy(run), "part int, shard int, n long, positions array<long>")

@@ -138,6 +138,14 @@ def _f6(df: DataFrame) -> DataFrame:
     return r6(df, *[x for x in df.columns if kinds[x] == "double"])
 
 
+#: Columns that may be null; whole numbers among them are given as doubles.
+_NULLABLE = ("rank_", "score", "affinity", "days_since", "times_bought")
+
+
+def _doubles(df: DataFrame) -> DataFrame:
+    return df.withColumns({x: F.col(x).cast("double") for x in df.columns if x.startswith(_NULLABLE)})
+
+
 QUERIES = {
     "popularity_baseline": lambda s, d: r6(popularity_baseline(transactions(s, d), articles(s, d), CUTOFF, START, END, 90), *_M, "coverage_at_k"),
     "popularity_baseline_all": lambda s, d: r6(popularity_baseline(transactions(s, d), articles(s, d), CUTOFF, START, END), *_M, "coverage_at_k"),
@@ -153,7 +161,7 @@ QUERIES = {
     "incremental_union": lambda s, d: r6(e.incremental_union(labels(s, d), records(s, d), SOURCES, 500), "recall"),
     "oracle_map": lambda s, d: r6(metrics.oracle_map(labels(s, d), records(s, d)), "oracle_map"),
     "pool_metrics": lambda s, d: _f6(metrics.pool_metrics(labels(s, d), records(s, d))),
-    "pair_features": lambda s, d: _f6(base_features(s, d).withColumns({f"rank_{n}": F.col(f"rank_{n}").cast("double") for n in SOURCES})),
+    "pair_features": lambda s, d: _f6(_doubles(base_features(s, d))),
     "affinity": lambda s, d: r6(f.affinities(transactions(s, d), articles(s, d), CUTOFF), "share"),
     "recency_frequency": lambda s, d: f.recency_frequency(transactions(s, d), articles(s, d), CUTOFF)["product_type"],
     "item_stats": lambda s, d: r6(f.item_stats(transactions(s, d), CUTOFF), "item_purchase_growth"),
@@ -272,7 +280,7 @@ ORACLES = {k: compose(v) for k, v in {
     "incremental_union": f"SELECT step, {_NAMES}[step + 1] AS source_name, new_pairs, new_hits, sum(new_pairs) OVER (ORDER BY step)::BIGINT AS pool_pairs, sum(new_hits) OVER (ORDER BY step)::BIGINT AS hits, round(sum(new_hits) OVER (ORDER BY step) / (SELECT count(*) FROM lab)::DOUBLE, 6) AS recall FROM (SELECT step, count(*) AS new_pairs, count(*) FILTER (hit) AS new_hits FROM (SELECT customer_id, article_id, min(list_position({_NAMES}, source_name) - 1)::BIGINT AS step, (customer_id, article_id) IN (SELECT (customer_id, article_id) FROM lab) AS hit FROM rec GROUP BY 1, 2) GROUP BY 1)",
     "oracle_map": "SELECT round(avg(least(h, 12) / least(r, 12)::DOUBLE), 6) AS oracle_map, count(*) AS customers FROM (SELECT n.customer_id, r, count(p.article_id) AS h FROM nrel n LEFT JOIN (SELECT rpairs.* FROM rpairs SEMI JOIN lab USING (customer_id, article_id)) p ON p.customer_id = n.customer_id GROUP BY 1, 2)",
     "pool_metrics": "SELECT count(*) AS customers, round(sum(h) / sum(r)::DOUBLE, 6) AS micro_recall, round(avg(h / r::DOUBLE), 6) AS macro_recall, round(avg((h > 0)::INT), 6) AS hit_rate, round(avg(m), 6) AS mean_pool FROM (SELECT n.customer_id, r, count(p.article_id) AS m, count(l.article_id) AS h FROM nrel n LEFT JOIN rpairs p ON p.customer_id = n.customer_id LEFT JOIN lab l ON l.customer_id = p.customer_id AND l.article_id = p.article_id GROUP BY 1, 2)",
-    "pair_features": "SELECT customer_id, article_id, " + ", ".join(f"round({x}::DOUBLE, 6) AS {x}" if x.startswith(("rank_", "score", "affinity")) or x == "item_purchase_growth" else x for x in _FEATURES) + " FROM feat",
+    "pair_features": "SELECT customer_id, article_id, " + ", ".join(f"round({x}::DOUBLE, 6) AS {x}" if x.startswith(_NULLABLE) or x == "item_purchase_growth" else x for x in _FEATURES) + " FROM feat",
     "affinity": "SELECT customer_id, field, value, round(share, 6) AS share FROM aff",
     "recency_frequency": "SELECT customer_id, product_type_name, days AS days_since_bought_product_type, times AS times_bought_product_type FROM rf_product_type",
     "item_stats": "SELECT article_id, p7 AS item_purchases_7d, p30 AS item_purchases_30d, ub AS item_unique_buyers_30d, round(growth, 6) AS item_purchase_growth FROM ist",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions import taxonomy
 from larkspur.functions.scalar import blind_key, pair_code, search_text, section_family
 from larkspur.functions.text import tokens
 from larkspur.operators import folds, metrics, search, serving
@@ -187,7 +188,21 @@ def _ndcg(source: str, gain: str, pool: str = "true", k: int = 10) -> str:
 part("fjud", "SELECT j.query_id, j.article_id, relevance, f.rank FROM jud j LEFT JOIN fusr f ON f.query_id = j.query_id AND f.article_id = j.article_id")
 _CARD = "prod_name AS name, product_type_name AS type, colour_group_name AS colour, section_name AS section, 'images/' || left(article_id::VARCHAR, 3) || '/' || article_id || '.jpg' AS image"
 
+part("tq", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TEXTS, 1)) + ") v(query_id, text)")
+part("qtk", f"SELECT query_id, unnest(t) AS token, unnest(range(len(t))) AS position FROM (SELECT query_id, {_TOK.format('text')} AS t FROM tq)")
+part("ali", "SELECT DISTINCT lower(colour_group_name) AS alias, 'color' AS dimension, colour_group_name AS value FROM art UNION ALL SELECT DISTINCT lower(product_type_name), 'product_type', product_type_name FROM art WHERE product_type_name <> '' UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{a}', 'section', '{v}')" for a, v in taxonomy.SECTIONS.items()) + ") w(a, d, v)")
+part("odd", "SELECT DISTINCT token FROM qtk WHERE length(token) >= 3 AND token NOT IN (SELECT alias FROM ali)")
+part("fix", "SELECT token, min(alias) AS known FROM odd JOIN (SELECT DISTINCT alias FROM ali) ON (abs(length(token) - length(alias)) = 1 AND least(length(token), length(alias)) >= 3 AND left(token, 2) = left(alias, 2) AND levenshtein(token, alias) = 1) OR (length(token) = length(alias) AND levenshtein(token, alias) = 2 AND damerau_levenshtein(token, alias) = 1) GROUP BY token HAVING count(*) = 1")
+part("ctk", "SELECT query_id, position, token, coalesce(known, token) AS corrected FROM qtk LEFT JOIN fix USING (token)")
+_LIST = lambda words: "('" + "', '".join(words) + "')"
+part("sty", f"SELECT *, (query_id, position) IN (SELECT (n.query_id, n.position + i) FROM ctk n, range(1, 4) r(i) WHERE n.corrected IN {_LIST(taxonomy.NEGATIONS)}) AS neg FROM ctk WHERE corrected IN {_LIST(taxonomy.STYLES)}")
+_FIRST = lambda d: f"(SELECT arg_min(value, position) FROM ctk JOIN ali ON alias = corrected WHERE dimension = '{d}' AND ctk.query_id = q.query_id)"
+_STY = lambda c: f"coalesce((SELECT string_agg(corrected, ' ' ORDER BY position) FROM sty WHERE {c} AND sty.query_id = q.query_id), '')"
+
 ORACLES = {k: compose(v) for k, v in {
+    "typo_correct": "SELECT query_id, position, token, corrected FROM ctk",
+    "intent_parse": f"SELECT *, color IS NOT NULL AND product_type IS NOT NULL AS hard_color FROM (SELECT query_id, trim(text) AS free_text, (SELECT string_agg(corrected, ' ' ORDER BY position) FROM ctk WHERE ctk.query_id = q.query_id) AS semantic_query, {_FIRST('color')} AS color, {_FIRST('product_type')} AS product_type, {_FIRST('section')} AS section, {_STY('NOT neg')} AS style_terms, {_STY('neg')} AS exclusions FROM tq q)",
+    "needs_enrichment": "SELECT DISTINCT query_id FROM qtk WHERE token NOT IN (SELECT alias FROM ali)",
     "tokenize_docs": "SELECT token, sum(tf)::BIGINT AS n, count(*) AS df FROM dtf GROUP BY 1",
     "bm25_index": "SELECT token, df, round(idf, 6) AS idf FROM aidf",
     "bm25_search": "SELECT query_id, article_id, round(score, 6) AS score, rank FROM lex",

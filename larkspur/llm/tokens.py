@@ -4,7 +4,8 @@ Both vocabularies split a text before they merge, and no token spans a single sp
 characters that aren't white space (``byte_bpe``: the space goes with the part after it; ``word_bpe``:
 white space is dropped). A text therefore encodes as its space-separated parts do, one after the
 other. The tokenizers library encodes each distinct part once; a table from the part's 64-bit hash to
-its ids then serves all its occurrences, by array operations. Beyond ``most`` parts the table is begun anew.
+its ids then serves all its occurrences, by array operations. The first ``most`` parts, the frequent ones among
+them, stay; of later ones a quarter as many are held at a time.
 Where spaces carry meaning, a text with several spaces in a row, at an end, or next to other white space is
 encoded whole.
 """
@@ -88,8 +89,17 @@ class Table:
         self._place(h, new)
 
 
+    def cut(self, n: int) -> None:
+        """Forget all but the first n entries."""
+        kept = (self.slots != 0) & (self.entry < n)
+        keys, entries = self.slots[kept], self.entry[kept]
+        self.n, self.used = n, int(self.start[n])
+        self.slots[:] = 0
+        self._place(keys, entries)
+
+
 class Encoder:
-    def __init__(self, name: str, most: int = 800_000):
+    def __init__(self, name: str, most: int = 1_600_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -127,8 +137,8 @@ class Encoder:
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a run of texts one after the other, each ended by ``END_ID``, and how many each has."""
         n = len(offs) - 1
-        if self.table.n > self.most:
-            self.table = Table()
+        if self.table.n > self.most + self.most // 4:
+            self.table.cut(self.most)
         inside = buf != 0x20
         first, last = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
         full = np.flatnonzero(np.diff(offs))

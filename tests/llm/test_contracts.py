@@ -144,6 +144,19 @@ def test_fuzzy_passage_and_cut(spark):
     assert left[1] == docs.filter("doc_id = 1").first().text and len(left[2].split()) <= 50 and prose(13, 40) in left[2]
 
 
+def test_passages_with_own_text_between(spark):
+    one, two = prose(31, 60), prose(32, 60)
+    texts = [(1, one, 33, 100, two), (2, one, 34, 100, two), (3, one, 35, 130, two)]
+    docs = spark.createDataFrame([(i, f"{a} {prose(seed, n)} {b}") for i, a, seed, n, b in texts], "doc_id long, text string")
+    found = {}
+    for r in substring_dedup.repeated_passages(docs).collect():
+        assert r.matched >= 50 and r.identity >= 0.8
+        found.setdefault((r.doc_id, r.ref_doc_id), set()).update(range(r.start_word, r.start_word + r.n_words))
+    for i, n in ((2, 100), (3, 130)):
+        assert {*range(60), *range(60 + n, 120 + n)} <= found[i, 1]
+        assert len(found[i, 1]) <= 150
+
+
 def test_real_passages(spark, data, documents):
     found = {r.doc_id for r in entry.queries()["op3_substring_dedup"](spark, data).collect()}
     first, shared = {}, set()

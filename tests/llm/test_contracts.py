@@ -157,6 +157,25 @@ def test_passages_with_own_text_between(spark):
         assert len(found[i, 1]) <= 150
 
 
+def test_passages_of_which_others_have_parts(spark):
+    long = prose(42, 100).split()
+    docs = {1001 + i: long[10 * i : 10 * i + 30] for i in range(8)} | {1100: long} | {1150 + i: long[10 * i : 10 * i + 30] for i in range(8)} | {1200: long}
+    rows = [(i, f"{prose(i + 500, 30)} {' '.join(w)} {prose(i + 3000, 30)}") for i, w in docs.items()]
+    for ordered in (sorted(rows), sorted(rows)[::-1]):
+        df = spark.createDataFrame(ordered, "doc_id long, text string")
+        for parts in (1, 5):
+            found = {(r.doc_id, r.ref_doc_id) for r in substring_dedup.repeated_passages(df.coalesce(1) if parts == 1 else df.repartition(parts)).collect()}
+            assert (1200, 1100) in found
+
+
+def test_a_seed_leads_to_the_document_before(spark):
+    words = prose(41, 60).split()
+    docs = [(1, words[:35]), (2, words[26:]), (100, words), (200, words)]
+    df = spark.createDataFrame([(i, f"{prose(i + 500, 30)} {' '.join(w)} {prose(i + 3000, 30)}") for i, w in docs], "doc_id long, text string")
+    for parts in (1, 4):
+        assert {(r.doc_id, r.ref_doc_id) for r in substring_dedup.repeated_passages(df.repartition(parts)).collect()} == {(200, 100)}
+
+
 def test_real_passages(spark, data, documents):
     found = {r.doc_id for r in entry.queries()["op3_substring_dedup"](spark, data).collect()}
     first, shared = {}, set()

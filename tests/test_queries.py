@@ -3,6 +3,7 @@
 import pytest
 
 from larkspur.plans import audits, candidates, evaluation, search
+from larkspur.sources.relations import customers
 from tests.compare import both, connect
 
 PLANS = (audits, candidates, evaluation, search)
@@ -32,3 +33,12 @@ def test_gives_rows(spark, data, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_live_or_stored_covers_every_customer(spark, monkeypatch):
+    data = "/root/testdata/sf0.01"
+    monkeypatch.setattr(search, "slates", lambda s, d: s.createDataFrame([(401, 7, 1), (402, 8, 1)], "customer_id long, article_id long, rank int"))
+    got = {r.customer_id: r.origin for r in QUERIES["live_or_stored"](spark, data).collect()}
+    want = {r.customer_id for r in customers(spark, data).select("customer_id").collect()}
+    assert max(want) > 402 and got.keys() == want
+    assert (got[401], got[402], got[max(want)]) == ("stored", "live", "none")

@@ -38,7 +38,7 @@ SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, s
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,26 @@ def near_components(texts):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def in_order(x, y):
+    """Most words of x and y that match in order."""
+    row = [0] * (len(y) + 1)
+    if x == y:
+        return len(x)
+    for w in x:
+        diagonal = 0
+        for j, v in enumerate(y, 1):
+            diagonal, row[j] = row[j], max(row[j], row[j - 1], diagonal + (v == w))
+    return row[-1]
+
+
+def exact_runs(words, n):
+    """Of each document the places of words in a run of n that a document of a smaller identifier has."""
+    first, out = {}, {}
+    for i in sorted(words):
+        w = words[i]
+        for k in range(len(w) - n + 1):
+            if first.setdefault(tuple(w[k : k + n]), i) != i:
+                out.setdefault(i, set()).update(range(k, k + n))
+    return out

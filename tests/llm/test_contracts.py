@@ -187,6 +187,68 @@ def test_real_passages(spark, data, documents):
     assert shared and shared <= found
 
 
+def _passages(docs, **options):
+    return sorted(map(tuple, substring_dedup.repeated_passages(docs, **options).collect()))
+
+
+@pytest.mark.parametrize("run,own", [(200, 150), (1500, 900)])
+def test_long_passages_around_own_text(spark, run, own):
+    one, two = prose(61, run), prose(62, run)
+    docs = spark.createDataFrame([(i, f"{one} {prose(63 + i, own - 50 * i)} {two}") for i in (1, 2)], "doc_id long, text string")
+    found = set()
+    for r in substring_dedup.repeated_passages(docs).collect():
+        assert r.identity >= 0.8
+        found.update(range(r.start_word, r.start_word + r.n_words))
+    gap = own - 100
+    assert {*range(run), *range(run + gap, 2 * run + gap)} <= found and len(found) <= 2 * run + 60
+
+
+def test_passages_do_not_depend_on_partitions(spark, documents):
+    rows = [*documents.items(), *((i, f"{prose(i, 20)} {prose(70, 60)}") for i in (10_001, 10_050, 10_060))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _passages(docs.repartition(8), hot=4)
+    assert {(10_050, 10_001), (10_060, 10_001)} <= {(r[0], r[3]) for r in want}
+    assert _passages(docs.coalesce(1), hot=4) == want and _passages(docs.repartition(64), hot=4) == want
+    assert {r[0] for r in _passages(docs)} == {r[0] for r in want}
+
+
+def test_passages_against_plain_alignment(documents, spark):
+    docs = spark.createDataFrame(list(documents.items()), "doc_id long, text string")
+    words = {i: brute.WORD.findall(brute.lower(t)) for i, t in documents.items()}
+    found = substring_dedup.repeated_passages(docs).collect()
+    for r in found:
+        x, y = words[r.doc_id][r.start_word :][: r.n_words], words[r.ref_doc_id][r.ref_start_word :][: r.ref_n_words]
+        assert len(x) == r.n_words and len(y) == r.ref_n_words and r.ref_doc_id < r.doc_id
+        assert 50 <= r.matched <= brute.in_order(x, y) and r.identity == pytest.approx(r.matched / max(len(x), len(y))) and r.identity >= 0.8
+    shared = brute.exact_runs(words, 50)
+    covered = collections.defaultdict(set)
+    for r in found:
+        covered[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+    hit = sum(k in covered[i] for i, places in shared.items() for k in places)
+    assert shared and set(shared) <= set(covered) and hit >= 0.99 * sum(map(len, shared.values()))
+
+
+def test_words_in_order_of_long_gaps(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.permutation(3000)
+    y = np.where(rng.random(3000) < 0.3, 5000 + np.arange(3000), x)
+    want = substring_dedup._edit_matches(x, y)
+    monkeypatch.setattr(substring_dedup, "CELLS", 1000)
+    assert substring_dedup._edit_matches(x, y) == want == int((x == y).sum())
+
+
+def test_cutting_rows_that_share_an_identifier(spark):
+    text = prose(81, 120)
+    rows = [(1, text, "a", "b"), (2, "short", "a", "b"), (2, f"{prose(82, 30)} {text}", "a", "b"), (3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc string, _spans string")
+    out = substring_dedup.cut_repeats(docs)
+    got = sorted((r.doc_id, r.text or "", r._doc) for r in out.collect())
+    assert out.columns == docs.columns and [g[0] for g in got] == [1, 2, 2, 3]
+    assert got[0][1] == text and got[2][1] == "short" and got[1][1].split() == prose(82, 30).split()
+
+
 def test_chains_prefer_order():
     got = substring_dedup.chains([0, 10, 20, 30], [100, 110, 5, 130])
     assert got[0] == [0, 1, 3] and len(got) == 1

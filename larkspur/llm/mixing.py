@@ -9,13 +9,14 @@ in part, so a source's words meet the target to within one word.
 
 Prefix sums without a task per source: keys are mapped to ``bins`` bins per source, bins are summed with
 partial aggregation, and only the bin in which the target falls is split into ``bins`` finer ones and
-summed again; an exact running sum is taken in the one fine bin that the target falls into. A source of
-any size therefore puts bins, not documents, into a window, until its fine bin, a share of about
-1 / bins**2 of it.
+summed again. The rows of the one fine bin that the target falls into, a share of about 1 / bins**2 of a
+source unless keys are tied, are sorted into ranges; each range is summed on its own and shifted by those
+before it, so rows that share an identifier, or have none, don't meet in one task however many they are.
 
 Defined results: null text has size 0 and takes 0; the null source is a source of its own, last in order;
-quality that is null, not finite or below ``floor`` counts as ``floor``; ties of keys are settled by
-identifier, then by size; rows that share an identifier are separate documents; sources without words
+quality that is null, not finite or below ``floor`` counts as ``floor``; rows with a null identifier draw by
+their text; ties of keys are settled by identifier, size, a hash of the text, and last by place in the staged table (rows alike in
+all of these are interchangeable); rows that share an identifier are separate documents; sources without words
 get a target of 0; an empty table gives an empty table. Columns of ``docs`` are kept, whatever their names.
 """
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WORD, stage
+from larkspur.llm.common import WORD, partitions, stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3.0
@@ -62,9 +63,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: flo
     return capped.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(level * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def draw(identifier: Column, seed: int) -> Column:
-    """Uniform in (0, 1) from the first 52 bits of an MD5 digest of the identifier."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(identifier.cast("string"), F.lit(""))).cast("binary"))
+def draw(identifier: Column, seed: int, otherwise: Column | None = None) -> Column:
+    """Uniform in (0, 1) from the first 52 bits of an MD5 digest of the identifier, or of ``otherwise`` where that is null."""
+    name = F.coalesce(identifier.cast("string"), F.concat(F.lit("~"), otherwise.cast("string")) if otherwise is not None else F.lit(""))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), name).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(2**52))
 
 
@@ -104,11 +106,13 @@ def sample_to_targets(
     )
     weight = F.col("_given") if quality is not None else text_quality(F.col("_text"), F.col("_size"))
     rows = rows.withColumn("_q", F.when(F.isnan(weight) | weight.isNull() | (weight < FLOOR), F.lit(FLOOR)).otherwise(weight))
-    rows = rows.withColumn("_key", -F.log(draw(F.col("_id"), seed)) / F.col("_q")).withColumn("_g", F.col("_key") / (1 + F.col("_key")))
+    rows = rows.withColumn("_hash", F.xxhash64("_text")).withColumn("_key", -F.log(draw(F.col("_id"), seed, F.col("_hash"))) / F.col("_q"))
+    rows = rows.withColumn("_g", F.col("_key") / (1 + F.col("_key"))).withColumn("_n", F.monotonically_increasing_id())
     rows = stage(rows.drop("_given", "_text", "_q"), "mix-rows")
 
     b1 = _bin(F.lit(0.0), F.lit(1.0), bins)
-    lean = rows.select("_id", "_source", "_size", "_key", "_g", b1.alias("_b1"))
+    order = F.struct("_key", "_id", "_size", "_hash", "_n")
+    lean = rows.select(order.alias("_at"), "_source", "_size", "_g", b1.alias("_b1"))
     hist = stage(lean.groupBy("_source", "_b1").agg(F.sum("_size").alias("_words")), "mix-bins")
     goal = targets(hist.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size")), weights, repeats)
     goal = goal.select(
@@ -126,22 +130,23 @@ def sample_to_targets(
     inner = lean.join(edge1, F.col("_source").eqNullSafe(F.col("_s1")) & (F.col("_b1") == F.col("_e1"))).withColumn("_b2", b2)
     fine = _cross(inner.groupBy("_source", "_rest1", "_b2").agg(F.sum("_size").alias("_words")), "_rest1", ["_source"], "_b2")
     edge2 = fine.filter("_at").select(F.col("_source").alias("_s2"), F.col("_b2").alias("_e2"), (F.col("_rest1") - F.col("_before")).alias("_rest2"))
-    last = inner.join(edge2, F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_b2") == F.col("_e2")))
-    w = Window.partitionBy("_source", "_b2").orderBy("_key", F.col("_id").asc_nulls_last(), "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = last.withColumn("_sum", F.sum("_size").over(w))
+    last = inner.join(edge2, F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_b2") == F.col("_e2"))).select("_source", "_at", "_size", "_rest2")
+    last = last.repartitionByRange(partitions(docs.sparkSession), "_source", "_at").withColumn("_range", F.spark_partition_id())
+    last = stage(last, "mix-last")
+    in_order = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = last.groupBy("_source", "_range").agg(F.sum("_size").alias("_words"))
+    ranges = ranges.select(F.col("_source").alias("_s4"), F.col("_range").alias("_r4"), F.coalesce(F.sum("_words").over(in_order), F.lit(0)).alias("_base"))
+    w = Window.partitionBy("_source", "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = last.withColumn("_sum", F.sum("_size").over(w)).join(ranges, F.col("_source").eqNullSafe(F.col("_s4")) & (F.col("_range") == F.col("_r4")))
+    last = last.withColumn("_sum", F.col("_sum") + F.col("_base"))
+    # A line per source: the document on the edge and how much of it is taken.
     edge3 = last.filter((F.col("_sum") - F.col("_size") < F.col("_rest2")) & (F.col("_sum") >= F.col("_rest2"))).select(
-        F.col("_source").alias("_s3"), F.col("_key").alias("_k3"), F.col("_id").alias("_i3"), (F.col("_rest2") - F.col("_sum") + F.col("_size")).alias("_part"), F.col("_size").alias("_z3")
+        F.col("_source").alias("_s3"), F.col("_at").alias("_edge"), (F.col("_rest2") - F.col("_sum") + F.col("_size")).alias("_part")
     )
-    # A line per source: the document on the edge and how much of it is taken.
-    edge3 = edge3.groupBy("_s3").agg(F.min(F.struct("_k3", "_i3", "_z3", "_part")).alias("_e")).select("_s3", "_e.*")
     plan = goal.join(edge3, F.col("_s").eqNullSafe(F.col("_s3")), "left").drop("_s3")
 
-    key, same_key = F.col("_key"), F.col("_key") == F.col("_k3")
-    order_id = F.coalesce(F.col("_id") < F.col("_i3"), F.col("_i3").isNull() & F.col("_id").isNotNull())
-    same_id = F.col("_id").eqNullSafe(F.col("_i3"))
-    first = (key < F.col("_k3")) | (same_key & (order_id | (same_id & (F.col("_size") < F.col("_z3")))))
-    here = same_key & same_id & (F.col("_size") == F.col("_z3"))
-    part = F.when(F.col("_budget") <= 0, F.lit(0)).when(F.col("_k3").isNull(), F.col("_size")).when(here, F.col("_part")).when(first, F.col("_size")).otherwise(F.lit(0))
+    first = order < F.col("_edge")
+    part = F.when(F.col("_budget") <= 0, F.lit(0)).when(F.col("_edge").isNull(), F.col("_size")).when(F.col("_n") == F.col("_edge._n"), F.col("_part")).when(first, F.col("_size")).otherwise(F.lit(0))
     out = rows.join(F.broadcast(plan) if _few(goal) else plan, F.col("_source").eqNullSafe(F.col("_s")))
     return out.select(
         F.col("_id").alias(id_col),

@@ -4,16 +4,21 @@ A table of shards is a folder of immutable Parquet files and a chain of manifest
 writes the arriving rows as small shards; nothing that exists is rewritten. Compaction puts the live
 shards into tiers by size (tier t holds sizes from base * fanout**t), and wherever a tier has
 ``fanout`` shards or more it merges runs of them into one larger shard, up to the target size. Every
-merge is one task that reads its run and writes one file, so compaction shuffles nothing; a job
-takes up to ``MERGES_PER_JOB`` merges at once. Sizes are the shards' file sizes.
+merge is one task that reads its run and writes one file, so compaction shuffles nothing; the merges of
+a round are one job, whose tasks Spark's own packing of files by size makes. Sizes are the shards' file sizes.
 
-A commit writes the next manifest under a temporary name and renames it to its version; the rename
-fails if another writer has taken the version, and readers only ever see whole manifests. Shards that
-no kept manifest names are removed by ``vacuum``. A manifest holds a line per shard (path, rows, bytes),
-which is metadata of the table; rows never pass through the driver.
+A manifest is a set of immutable part files of up to ``PART_LINES`` shards each, so a commit only writes the parts that change. A
+commit writes its parts, then creates the file of its version, which names them, and creating it fails if it is there:
+of two writers of one version one wins. That takes a store whose create without overwriting is exclusive: HDFS, object stores with
+conditional puts, and local disks, where a finished file is linked to its name. A version file without its closing line was never
+committed: readers pass over it, writers go beyond it.
+
+Writers register a folder in ``_writing`` before anything is written to it, and take the mark away after its commit; a mark counts for ``ABANDONED`` seconds.
+``vacuum`` keeps the last versions, everything younger than ``grace`` seconds, and what is registered; it removes the rest.
 
 Recovery: a lost executor repeats its task; files of failed or repeated attempts are not in any
-manifest, since the shards of a version are listed from what Spark's committer left.
+manifest, since the shards of a version are listed from what Spark's committer left. A manifest holds a line per shard (path, rows,
+bytes), which is metadata of the table; rows never pass through the driver.
 
 Defined results: columns of any names and types that Parquet holds are kept as they are, nulls included;
 rows are kept whole and exactly once, repeated rows as often as they came; an append without rows
@@ -24,18 +29,24 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from larkspur.llm.common import drop_path, fresh_path
 
-MERGES_PER_JOB = 64
+PART_LINES = 20_000
+GRACE = 24 * 3600.0
+#: A mark of this age is of a writer that has died.
+ABANDONED = 7 * 24 * 3600.0
 
 
 @dataclass(frozen=True)
@@ -56,38 +67,96 @@ class ShardTable:
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path(self.root).getFileSystem(self._conf)
 
-    # ------------------------------------------------------------------ manifests
+    # ------------------------------------------------------------------ files
 
-    def versions(self) -> list[int]:
-        folder = self._path(f"{self.root}/_manifests")
-        if not self._fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
-
-    def manifest(self, version: int | None = None) -> list[Shard]:
-        have = self.versions()
-        version = version if version is not None else have[-1] if have else 0
-        if version == 0:
-            return []
-        stream = self._fs.open(self._path(f"{self.root}/_manifests/v{version:08d}.json"))
+    def _read(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
         try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return [Shard(**x) for x in json.loads(text)["shards"]]
 
-    def commit(self, shards: list[Shard], expected: int) -> int:
-        """Version ``expected + 1`` with these shards; raises if another writer has committed it."""
-        new = expected + 1
-        body = json.dumps({"version": new, "shards": [vars(s) for s in shards]}).encode()
-        temp = self._path(f"{self.root}/_manifests/.tmp-{new}-{uuid.uuid4().hex}")
-        stream = self._fs.create(temp, False)
-        stream.write(bytearray(body))
+    def _write(self, path: str, text: str) -> None:
+        stream = self._fs.create(self._path(path), False)
+        stream.write(bytearray(text.encode()))
         stream.close()
-        final = self._path(f"{self.root}/_manifests/v{new:08d}.json")
-        if self._fs.exists(final) or not self._fs.rename(temp, final):
-            self._fs.delete(temp, False)
+
+    def _list(self, path: str) -> list:
+        folder = self._path(path)
+        return list(self._fs.listStatus(folder)) if self._fs.exists(folder) else []
+
+    def _create(self, path: str, text: str) -> bool:
+        """Create a file with this text; false if it is there already, whoever was first."""
+        if self._fs.getScheme() != "file":
+            try:
+                self._write(path, text)
+            except Py4JJavaError as e:
+                if "AlreadyExists" not in e.java_exception.getClass().getName():
+                    raise
+                return False
+            return True
+        jvm = self.spark.sparkContext._jvm
+        temp = f"{path}.{uuid.uuid4().hex}"
+        self._write(temp, text)
+        name = lambda p: jvm.java.io.File(self._path(p).toUri().getPath()).toPath()
+        try:
+            jvm.java.nio.file.Files.createLink(name(path), name(temp))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        finally:
+            self._fs.delete(self._path(temp), False)
+        return True
+
+    # ------------------------------------------------------------------ manifests
+
+    def _version_path(self, version: int) -> str:
+        return f"{self.root}/_manifests/v{version:08d}"
+
+    def _taken(self) -> list[int]:
+        """Numbers of all version files, those that were never finished too."""
+        names = [s.getPath().getName() for s in self._list(f"{self.root}/_manifests")]
+        return sorted(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit())
+
+    def _parts(self, version: int) -> list[str] | None:
+        """The parts that a version names, or None where it was never finished."""
+        lines = self._read(self._version_path(version)).split("\n")
+        return lines[:-1] if lines[-1] == "committed" else None
+
+    def versions(self) -> list[int]:
+        return [v for v in self._taken() if self._parts(v) is not None]
+
+    def latest(self) -> int:
+        return next((v for v in reversed(self._taken()) if self._parts(v) is not None), 0)
+
+    def _shards(self, part: str) -> list[Shard]:
+        return [Shard(*json.loads(line)) for line in self._read(f"{self.root}/_manifests/{part}").splitlines()]
+
+    def manifest(self, version: int | None = None) -> list[Shard]:
+        version = self.latest() if version is None else version
+        return [s for part in self._parts(version) or [] for s in self._shards(part)] if version else []
+
+    def commit(self, added: list[Shard], gone: set[str], expected: int) -> int:
+        """The version after ``expected``, with shards added and others gone; raises if another writer has committed one."""
+        kept, loose = [], list(added)
+        for part in (self._parts(expected) or []) if expected else []:
+            shards = self._shards(part)
+            if len(shards) < PART_LINES // 2 or any(s.path in gone for s in shards):
+                loose += [s for s in shards if s.path not in gone]
+            else:
+                kept.append(part)
+        for k in range(0, len(loose), PART_LINES):
+            part = f"part-{uuid.uuid4().hex}"
+            self._write(f"{self.root}/_manifests/{part}", "\n".join(json.dumps([s.path, s.rows, s.bytes]) for s in loose[k : k + PART_LINES]))
+            kept.append(part)
+        new = expected + 1
+        for v in self._taken():
+            if v >= new:
+                if self._parts(v) is not None:
+                    raise RuntimeError(f"version {v} has been committed by another writer")
+                new = v + 1
+        if not self._create(self._version_path(new), "\n".join([*kept, "committed"])):
             raise RuntimeError(f"version {new} has been committed by another writer")
         return new
 
@@ -105,13 +174,28 @@ class ShardTable:
         )
         return sorted((Shard(r["path"], r["rows"], r["bytes"]) for r in found.collect()), key=lambda s: s.path)
 
-    def append(self, arrivals: DataFrame, max_rows_per_shard: int = 0) -> int:
-        """Write arriving rows as small shards and commit them."""
-        version = (self.versions() or [0])[-1]
-        folder = fresh_name(self.root)
+    @contextmanager
+    def _folder(self) -> Iterator[str]:
+        """A new folder for shards, registered until its commit."""
+        name = f"shards-{uuid.uuid4().hex}"
+        mark = f"{self.root}/_writing/{name}"
+        self._write(mark, "")
+        yield f"{self.root}/{name}"
+        self._fs.delete(self._path(mark), False)
+
+    def append(self, arrivals: DataFrame, max_rows_per_shard: int = 0, attempts: int = 5) -> int:
+        """Write arriving rows as small shards and commit them, after whatever others have committed meanwhile."""
         writer = arrivals.select(*[F.col(f"`{c}`") for c in self.schema.names]).write.option("compression", "zstd")
-        (writer.option("maxRecordsPerFile", max_rows_per_shard) if max_rows_per_shard else writer).parquet(folder)
-        return self.commit(self.manifest(version) + self._listed(folder), version)
+        with self._folder() as folder:
+            (writer.option("maxRecordsPerFile", max_rows_per_shard) if max_rows_per_shard else writer).parquet(folder)
+            shards = self._listed(folder)
+            for left in range(attempts - 1, -1, -1):
+                try:
+                    return self.commit(shards, set(), self.latest())
+                except RuntimeError:
+                    if not left:
+                        raise
+        raise AssertionError
 
     def tier(self, size: int) -> int:
         return 0 if size <= self.base else int(math.log(size / self.base, self.fanout)) + 1
@@ -135,47 +219,55 @@ class ShardTable:
             runs.append(run)
         return [r for r in runs if len(r) > 1]
 
+    def _merged(self, runs: list[list[Shard]]) -> DataFrame:
+        """The rows of all runs, a partition for each: Spark packs files into partitions by falling size, up to the target."""
+        session = self.spark.newSession()
+        for key, value in (("maxPartitionBytes", self.target), ("openCostInBytes", 0), ("minPartitionNum", 1)):
+            session.conf.set(f"spark.sql.files.{key}", str(value))
+        return session.read.schema(self.schema).parquet(*[s.path for run in runs for s in run])
+
     def compact(self) -> int:
-        """Merge until no tier is full; a version is committed for each round."""
-        version = (self.versions() or [0])[-1]
-        while runs := self.plan(live := self.manifest(version)):
-            gone = {s.path for run in runs for s in run}
-            made: list[Shard] = []
-            for k in range(0, len(runs), MERGES_PER_JOB):
-                folder = fresh_name(self.root)
-                parts = [self.spark.read.schema(self.schema).parquet(*[s.path for s in run]).coalesce(1) for run in runs[k : k + MERGES_PER_JOB]]
-                reduce(DataFrame.unionAll, parts).write.option("compression", "zstd").parquet(folder)
-                made += self._listed(folder)
-            if sum(s.rows for s in made) != sum(s.rows for run in runs for s in run):
-                raise RuntimeError("a merge has lost or repeated rows; nothing is committed")
-            version = self.commit([s for s in live if s.path not in gone] + made, version)
-            self.vacuum()
+        """Merge until no tier is full; a job and a version for each round."""
+        version = self.latest()
+        while runs := self.plan(self.manifest(version)):
+            with self._folder() as folder:
+                self._merged(runs).write.option("compression", "zstd").parquet(folder)
+                made = self._listed(folder)
+                if sum(s.rows for s in made) != sum(s.rows for run in runs for s in run):
+                    raise RuntimeError("a merge has lost or repeated rows; nothing is committed")
+                version = self.commit(made, {s.path for run in runs for s in run}, version)
         return version
 
-    def vacuum(self, keep_versions: int = 1) -> None:
-        """Remove shards and manifests that aren't in the last ``keep_versions`` versions."""
+    def vacuum(self, keep_versions: int = 1, grace: float = GRACE) -> None:
+        """Remove what isn't in the last ``keep_versions`` versions, is older than ``grace`` seconds, and isn't registered by a writer."""
+        before = (time.time() - grace) * 1000
         have = self.versions()
-        kept = {s.path for v in have[-keep_versions:] for s in self.manifest(v)}
-        for status in self._fs.listStatus(self._path(self.root)):
-            folder = status.getPath()
-            if folder.getName().startswith("shards-"):
-                files = [f.getPath() for f in self._fs.listStatus(folder) if f.getPath().getName().endswith(".parquet")]
-                names = {f.getName() for f in files}
-                live = {p.rsplit("/", 1)[1] for p in kept if f"/{folder.getName()}/" in p}
-                if not names & live:
-                    self._fs.delete(folder, True)
+        kept = have[-keep_versions:]
+        young = [v for v in have[:-keep_versions] if self._fs.getFileStatus(self._path(self._version_path(v + 1 if v + 1 in have else have[-1]))).getModificationTime() > before]
+        parts = {p for v in [*kept, *young] for p in self._parts(v)}
+        live = {s.path.rsplit("/", 2)[-2] + "/" + s.path.rsplit("/", 1)[-1] for p in parts for s in self._shards(p)}
+        writing = {s.getPath().getName() for s in self._list(f"{self.root}/_writing") if s.getModificationTime() > (time.time() - ABANDONED) * 1000}
+        for status in self._list(self.root):
+            folder = status.getPath().getName()
+            if folder.startswith("shards-") and folder not in writing:
+                files = [f for f in self._list(f"{self.root}/{folder}") if f.getPath().getName().endswith(".parquet")]
+                old = [f for f in files if f"{folder}/{f.getPath().getName()}" not in live and f.getModificationTime() <= before]
+                if len(old) == len(files) and status.getModificationTime() <= before:
+                    self._fs.delete(status.getPath(), True)
                 else:
-                    for f in files:
-                        if f.getName() not in live:
-                            self._fs.delete(f, False)
-        for v in have[:-keep_versions]:
-            self._fs.delete(self._path(f"{self.root}/_manifests/v{v:08d}.json"), False)
+                    for f in old:
+                        self._fs.delete(f.getPath(), False)
+        for status in self._list(f"{self.root}/_manifests"):
+            name = status.getPath().getName()
+            number = int(name[1:]) if name[0] == "v" and name[1:].isdigit() else 0
+            if status.getModificationTime() <= before and (number and number < have[-1] and number not in {*kept, *young} or not number and name not in parts):
+                self._fs.delete(status.getPath(), False)
 
     # ------------------------------------------------------------------ reading
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, and nothing else, from the shards that its manifest names."""
-        if not self.versions():
+        if not self.latest():
             raise ValueError(f"{self.root} has no committed version")
         shards = self.manifest(version)
         if not shards:
@@ -186,13 +278,11 @@ class ShardTable:
         drop_path(self.spark, self.root)
 
 
-def fresh_name(root: str) -> str:
-    return f"{root}/shards-{uuid.uuid4().hex}"
-
-
 def shard_table(docs: DataFrame, arrivals_rows: int = 2000, target_bytes: int = 128 << 20, root: str | None = None) -> ShardTable:
     """A compacted table of the rows of ``docs``, which arrive as shards of up to ``arrivals_rows`` rows."""
     table = ShardTable(docs.sparkSession, root or fresh_path(docs.sparkSession, "sharded"), docs.schema, target_bytes)
     table.append(docs, arrivals_rows)
     table.compact()
+    if root is None:  # nobody else knows of it
+        table.vacuum(grace=0.0)
     return table

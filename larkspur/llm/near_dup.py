@@ -5,7 +5,8 @@ link from a Jaccard similarity of 0.8 on. The search divides inverted lists into
 
 1. One pass over the texts gives each document its set's hash, size and a 32-byte sketch, and the shingles that
    occur in at least ``LOCAL`` sets of a batch. Those that add up to a share ``HOT`` of all documents are long lists.
-   Their number is at most the mean set size / HOT however large the corpus is, so they can be broadcast.
+   A list counts as long from a share of all documents and from a millionth of all shingles on, so there are at most
+   a million long lists however large the corpus is, and they can be broadcast.
 2. A second pass orders each set: shingles of short lists first, then long ones by rising frequency. Linked sets
    share one of the first n - ceil(0.8 n) + 1 shingles of both; only these are indexed, by shingle.
 3. Spark's sort merges the short lists. Lists of up to ``LIST`` sets give pairs of fitting sizes, which stay if
@@ -14,25 +15,30 @@ link from a Jaccard similarity of 0.8 on. The search divides inverted lists into
    32 bits of each tell, so a pair comes about once and not once for each shingle that it shares. Longer lists, which
    only sets made of long-list shingles still have, join their members to one family without listing pairs.
 4. Connected candidates form families. The members' sets are computed once more from their texts and searched in
-   blocks of fitting sizes: for each set the short lists of its block are merged and counted, and candidates that
-   can still reach the overlap are probed by binary search for the shingles of the long lists. Links are exact
+   blocks of at most ``BLOCK`` sets and ``SHINGLES`` shingles. For each set the short lists of its block are heap-merged, and
+   candidates that can still reach the overlap are looked up in the long lists by binary search. Links are exact
    counts. A block reports the links that join two groups, at most one for each member, never all pairs.
-5. Components of the links give the classes.
-
-Hashes have 64 bits. Defined results: null texts and texts without words have size 0 and link with nothing; texts of
-fewer than five words have one shingle, all their words; rows that share an identifier are one node, linked if any
-of their texts is; a null identifier links with nothing and has a null component; an empty table gives an empty table.
+   A family beyond a block is first dealt out twice, by size band and by bands half a step on, so each member is in two
+   blocks; mostly this leaves one component. Only what is still in different components is then compared block against
+   block, and blocks of one component are not compared with each other.
+5. Components of the links, and of rows that share an identifier, give the classes.
+
+Hashes have 64 bits. With ``exact`` the sketches aren't asked. Defined results: null texts and texts without words have size 0 and
+link with nothing; texts of fewer than five words have one shingle, all their words; rows that share an identifier are one node,
+linked if any of their texts is; a null identifier links with nothing and has a null component; an empty table gives an empty table.
 Identifiers are integers.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import mix, partitions, stage, text_chunks, tidy, window_hashes, word_hashes, word_spans
@@ -43,6 +49,11 @@ HOT = 2e-4
 LOCAL = 3
 LIST = 256
 BLOCK = 512
+SHINGLES = 2_000_000
+#: At most so many lists are long.
+LONG_LISTS = 1_000_000
+#: Short lists with more places than this are merged by sorting them together.
+HEAP = 4096
 PLACES = 32
 AGREE = 0.3
 #: Sets smaller than this have too few shingles for their sketches to tell.
@@ -236,8 +247,20 @@ def _similar_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 # --------------------------------------------------------------------------- search inside a family
 
 
-def divide_skip(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join two groups of a block's members. side: 0 and 1 where only pairs across count, 2 where all do."""
+def merge_lists(lists: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """The members of sorted lists, ascending, and how many of the lists have them."""
+    if sum(map(len, lists)) > HEAP:
+        yield from zip(*(x.tolist() for x in np.unique(np.concatenate(lists), return_counts=True)), strict=True)
+        return
+    for member, run in itertools.groupby(heapq.merge(*(x.tolist() for x in lists))):
+        yield member, sum(1 for _ in run)
+
+
+def divide_skip(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join two groups of a block's members; those of one component are one group from the start.
+
+    side: 0 and 1 where only pairs across count, 2 where all do.
+    """
     m = len(sets)
     size = np.array([len(s) for s in sets])
     tokens = np.concatenate(sets)
@@ -246,8 +269,15 @@ def divide_skip(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> l
     tokens, owner = tokens[order], owner[order]
     starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
     lists, stops = tokens[starts], np.append(starts[1:], len(tokens))
-    group, out = np.arange(m), []
+    places = np.repeat(np.arange(len(lists)), stops - starts) * m + owner  # sorted: a list is a run, its members ascend
+    group, out = np.unique(component, return_inverse=True)[1], []
     for x in range(m):
+        fits = (group != group[x]) & (5 * size >= 4 * size[x]) & (4 * size <= 5 * size[x])
+        fits[: x + 1] = False
+        if side[x] < 2:
+            fits &= side != side[x]
+        if not fits.any():
+            continue
         s = sets[x]
         at = np.searchsorted(lists, s)
         length = stops[at] - starts[at]
@@ -255,57 +285,46 @@ def divide_skip(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> l
         longest = int(length.max())
         skip = min(need - 1, int(need / (0.0085 * math.log2(longest) + 1))) if longest > 1 else 0
         by = np.argsort(length, kind="stable")
-        short, long = by[: len(s) - skip], by[len(s) - skip :]
+        short, long = at[by[: len(s) - skip]], at[by[len(s) - skip :]]
         # Merge the short lists; those with x alone give nothing.
-        short = short[length[short] > 1]
-        if not len(short):
-            continue
-        merged = np.concatenate([owner[starts[k] : stops[k]] for k in at[short]])
-        count = np.bincount(merged, minlength=m)
-        fit = (count >= need - skip) & (5 * size >= 4 * size[x]) & (4 * size <= 5 * size[x]) & (group != group[x])
-        fit[: x + 1] = False
-        if side[x] < 2:
-            fit &= side != side[x]
-        probes = s[long]
-        for y in np.flatnonzero(fit):
-            if group[y] == group[x]:
+        merged = [owner[starts[k] : stops[k]] for k in short[stops[short] - starts[short] > 1]]
+        merged = [x for x in (y[fits[y]] for y in merged) if len(x)]
+        for y, shared in merge_lists(merged) if merged else ():
+            if shared < need - skip or group[y] == group[x]:
                 continue
-            t = sets[y]
-            shared = int(count[y])
-            if len(probes):
-                p = np.searchsorted(t, probes)
-                p[p == len(t)] = 0
-                shared += int((t[p] == probes).sum())
-            if linked(shared, len(s), len(t)):
+            if len(long):
+                asked = long * m + y
+                shared += int((places[np.minimum(np.searchsorted(places, asked), len(places) - 1)] == asked).sum())
+            if linked(shared, len(s), len(sets[y])):
                 out.append((int(keys[x]), int(keys[y])))
                 group[group == group[y]] = group[x]
     return out
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (task, side, key, blob), sorted by task: links."""
-    task, keys, sets, sides = None, [], [], []
+    """From (task, side, key, component, blob), sorted by task: links."""
+    task, rows = None, []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        links = divide_skip(np.array(keys), sets, np.array(sides)) if len(sets) > 1 else []
-        if links:
+        if len(rows) < 2:
+            return
+        side, key, component, sets = zip(*rows, strict=True)
+        if links := divide_skip(np.array(key), list(sets), np.array(side), np.array(component)):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
     for batch in batches:
-        for t, side, key, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for t, side, key, component, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if t != task:
                 yield from flush()
-                task, keys, sets, sides = t, [], [], []
-            keys.append(key)
-            sides.append(side)
-            sets.append(np.frombuffer(blob, np.uint64))
+                task, rows = t, []
+            rows.append((side, key, component, np.frombuffer(blob, np.uint64)))
     yield from flush()
 
 
 # --------------------------------------------------------------------------- the join
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: float = HOT, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: float = HOT, block: int = BLOCK, exact: bool = False) -> DataFrame:
     """identifier, n_shingles and component_id (the smallest identifier reachable by links) of every row."""
     spark = docs.sparkSession
     parts = partitions(spark)
@@ -314,8 +333,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = profile.filter("sketch IS NOT NULL").select("doc", "key", "n", "sketch")
     classes = stage(rows.filter("doc IS NOT NULL AND n > 0").groupBy("key").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), "near-classes")
 
-    total = rows.count()
-    floor = max(16.0, hot * total / 3)
+    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0)).alias("shingles")).first()
+    total = size["rows"]
+    floor = max(16.0, hot * total / 3, size["shingles"] / LONG_LISTS)
     long = profile.filter("sketch IS NULL").groupBy("key").agg(F.sum("n").alias("df")).filter(F.col("df") >= floor)
     found = sorted((r["df"], r["key"]) for r in long.collect())
     tokens = np.array([k for _, k in found], np.int64).view(np.uint64)
@@ -356,9 +376,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("a", "b", "sa", "sb", F.least("na", "nb").alias("n"))
         .mapInArrow(tidy(_similar_sketches), "a long, b long")
     )
-    alike = stage(open_pairs, "near-alike")
+    alike = pairs.filter("NOT sure").select("a", "b") if exact else stage(open_pairs, "near-alike")
     family = components(pairs.filter("sure").select("a", "b").unionAll(alike))
-    links = components(stage(_verified(texts, family, classes, block, parts), "near-links"))
+    verified = stage(_verified(texts, family, classes, block, parts), "near-links")
+    # Rows that share an identifier: their sets are linked, and rows without words take part in what the others are linked to.
+    named = rows.filter("doc IS NOT NULL")
+    several = stage(named.groupBy("doc").agg(F.min("key").alias("_a"), F.max("key").alias("_b")).filter("_a <> _b").select("doc"), "near-several")
+    mates = named.filter("n > 0").join(several, "doc").select("doc", "key")
+    mates = mates.join(mates.groupBy("doc").agg(F.min("key").alias("a")), "doc").select("doc", "a", F.col("key").alias("b")).distinct()
+    mates = stage(mates, "near-mates")
+    links = components(verified.unionAll(mates.filter("a <> b").select("a", "b")))
 
     least = links.join(classes, links.node == classes.key).groupBy("root").agg(F.min("rep").alias("least"))
     moved = links.join(least, "root").select(F.col("node").alias("key"), "least")
@@ -369,32 +396,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = common.filter("known IS NOT NULL").withColumnRenamed("known", "component").unionByName(
         common.filter("known IS NULL").drop("known").join(final.filter(~often).select("key", "component"), "key", "left")
     )
-    linked_to = F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col("component"))).otherwise(F.col("doc"))
-    return found.select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), linked_to.alias("component_id"))
+    worded = found.filter("n > 0").select("doc", "n", F.when(F.col("doc").isNotNull(), F.col("component")).alias("component"))
+    lent = mates.select("doc", F.col("a").alias("key")).distinct().join(final, "key").select(F.col("doc").alias("_doc"), F.col("component").alias("_lent"))
+    blank = rows.filter("n = 0").join(lent, F.col("doc") == F.col("_doc"), "left").select("doc", "n", F.coalesce("_lent", "doc").alias("component"))
+    both = worded.unionAll(blank)
+    return both.select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _blocks(sets: Column, block: int) -> Column:
+    """How many blocks a group of sets takes: ``sets`` is the shingles of each."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum(sets) / F.lit(float(SHINGLES)))).cast("int")
 
 
 def _verified(texts: DataFrame, family: DataFrame, classes: DataFrame, block: int, parts: int) -> DataFrame:
-    """Links inside families. Families beyond a block are dealt out by size band, and large bands by hash."""
+    """Links inside families, enough to connect all that is linked."""
     member = family.select(F.col("node").alias("key"), F.col("root").alias("fam")).join(classes.select("key", "rep", "n"), "key")
-    member = stage(member.withColumn("band", F.floor(F.log("n") / F.lit(_BAND)).cast("int")), "near-members")
-    total = member.groupBy("fam").agg(F.count(F.lit(1)).alias("all"))
-    bands = member.groupBy("fam", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("subs"))
-    whole = member.join(total.filter(F.col("all") <= block), "fam").select(
-        "key", "rep", F.array(F.struct(F.xxhash64("fam").alias("task"), F.lit(2).alias("side"))).alias("tasks")
-    )
-    large = total.filter(F.col("all") > block).select("fam")
-    own = member.join(large, "fam").join(bands, ["fam", "band"]).withColumn("sub", F.pmod(F.xxhash64("key"), F.col("subs")).cast("int"))
-    near = bands.join(large, "fam").select("fam", F.col("band").alias("other"), F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("osub"))
-    around = own.withColumn("other", F.explode(F.array(*[F.col("band") + d for d in range(-2, 3)]))).join(near, ["fam", "other"])
-    mine, theirs = F.struct(F.col("band"), F.col("sub")), F.struct(F.col("other").alias("band"), F.col("osub").alias("sub"))
-    spread = around.select(
+    step = F.log("n") / F.lit(_BAND)
+    member = stage(member.withColumn("band", F.floor(step).cast("int")).withColumn("half", F.floor(step + 0.5).cast("int")), "near-members")
+    large = stage(member.groupBy("fam").agg(_blocks(F.col("n"), block).alias("subs")).filter("subs > 1").select("fam"), "near-large")
+    task = lambda *by: F.struct(F.xxhash64(*by).alias("task"), F.lit(2).alias("side"))
+    whole = member.join(large, "fam", "left_anti").select("key", "rep", F.col("key").alias("component"), F.array(task("fam")).alias("tasks"))
+    if large.isEmpty():
+        return _searched(texts, whole, parts)
+    own = member.join(large, "fam")
+    dealt = own
+    for name in ("band", "half"):
+        subs = own.groupBy("fam", name).agg(_blocks(F.col("n"), block).alias(f"{name}_subs"))
+        dealt = dealt.join(subs, ["fam", name])
+    place = lambda name: task(F.lit(name), "fam", name, F.pmod(F.xxhash64("key", F.lit(name)), F.col(f"{name}_subs")))
+    dealt = dealt.select("key", "rep", F.col("key").alias("component"), F.array(place("band"), place("half")).alias("tasks"))
+    links = stage(_searched(texts, whole.unionAll(dealt), parts), "near-dealt")
+
+    known = components(links).select(F.col("node").alias("key"), "root")
+    own = own.join(known, "key", "left").withColumn("component", F.coalesce("root", "key")).drop("root")
+    sizes = stage(own.groupBy("fam", "component").agg(F.count(F.lit(1)).alias("in")), "near-parts")
+    unsettled = sizes.groupBy("fam").agg(F.count(F.lit(1)).alias("components")).filter("components > 1").select("fam")
+    # Members of components of half a block or more are dealt apart from the others, so that blocks of one component can be left out.
+    own = own.join(unsettled, "fam").join(sizes, ["fam", "component"]).withColumn("part", F.when(F.col("in") * 2 >= block, F.col("component")).otherwise(F.lit(0)))
+    own = stage(own.drop("in", "half"), "near-unsettled")
+    if own.isEmpty():
+        return links
+    cells = own.groupBy("fam", "band", "part").agg(_blocks(F.col("n"), block).alias("subs"))
+    mine = own.join(cells, ["fam", "band", "part"]).withColumn("sub", F.pmod(F.xxhash64("key"), F.col("subs")).cast("int"))
+    near = cells.select("fam", F.col("band").alias("oband"), F.col("part").alias("opart"), F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("osub"))
+    around = mine.withColumn("oband", F.explode(F.array(*[F.col("band") + d for d in range(-2, 3)]))).join(near, ["fam", "oband"]).filter("part <> opart OR part = 0")
+    here = F.struct("band", "part", "sub")
+    there = F.struct(F.col("oband").alias("band"), F.col("opart").alias("part"), F.col("osub").alias("sub"))
+    across = around.select(
         "key",
         "rep",
-        F.xxhash64("fam", F.least(mine, theirs), F.greatest(mine, theirs)).alias("task"),
-        F.when(mine == theirs, 2).when(mine < theirs, 0).otherwise(1).alias("side"),
+        "component",
+        F.struct(F.xxhash64("fam", F.least(here, there), F.greatest(here, there)).alias("task"), F.when(here == there, 2).when(here < there, 0).otherwise(1).alias("side")).alias("t"),
     )
-    spread = spread.groupBy("key", "rep").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
-    plan = whole.unionAll(spread).select(F.col("rep").alias("doc"), "key", "tasks")
+    across = across.groupBy("key", "rep", "component").agg(F.collect_list("t").alias("tasks"))
+    return links.unionAll(_searched(texts, across, parts))
+
+
+def _searched(texts: DataFrame, plan: DataFrame, parts: int) -> DataFrame:
+    """Links of the blocks of ``plan`` (key, rep: a document that has the set, component, tasks). Texts are read again; sets are never staged."""
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -402,11 +461,12 @@ def _verified(texts: DataFrame, family: DataFrame, classes: DataFrame, block: in
                 sets = shingle_sets(buf, offs)
                 part = batch.slice(lo, hi - lo)
                 same = pa.array([set_key(s) == k for s, k in zip(sets, part.column(1).to_pylist(), strict=True)])
-                out = pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "tasks", "blob"])
+                out = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "component", "tasks", "blob"])
                 yield out.filter(same)
 
-    sets = texts.join(plan, "doc").select("text", "key", "tasks").mapInArrow(tidy(computed), "key long, tasks array<struct<task:long,side:int>>, blob binary")
-    dealt = sets.select(F.explode("tasks").alias("t"), "key", "blob").select("t.task", "t.side", "key", "blob")
+    wanted = texts.join(plan.withColumnRenamed("rep", "doc"), "doc").select("text", "key", "component", "tasks")
+    sets = wanted.mapInArrow(tidy(computed), "key long, component long, tasks array<struct<task:long,side:int>>, blob binary")
+    dealt = sets.select(F.explode("tasks").alias("t"), "key", "component", "blob").select("t.task", "t.side", "key", "component", "blob")
     return dealt.repartition(parts, "task").sortWithinPartitions("task", "key").mapInArrow(tidy(_search), "a long, b long")
 
 

@@ -25,12 +25,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may leave it unset; it gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="larkspur-"))

@@ -6,14 +6,14 @@ compares neighbouring texts in full and keeps one identifier. A range key is a s
 text and a hash of all of it, so splitters stay small however long the texts are and texts with a
 common beginning still spread; equal texts always have equal keys.
 
-Hot groups: each text is dealt with a salt of its row, so that a group of any size becomes up to
-``salts`` runs in different ranges. Each run is first settled on its own; then one short line per run
+Hot groups: each row is dealt with a salt of its place in the input, so that a group of any size, with identifiers or
+without, becomes up to ``salts`` runs in different ranges. Each run is first settled on its own; then one short line per run
 (digest, best identifier, count) is settled per text. Neither step holds a whole group in a task.
 
 Defined results: a null text equals the empty one; of equal texts the largest identifier stays
 (``keep="max"``) or the smallest (``keep="min"``); a null identifier loses against any other and
 stays only when its whole group has none; of rows that share text and identifier exactly one is
-marked kept; an empty table gives an empty table; further columns, whatever their names, don't
+marked kept, and which of them isn't defined where further columns differ; an empty table gives an empty table; further columns, whatever their names, don't
 matter. Texts differing in anything but the case of A-Z differ.
 """
 
@@ -48,7 +48,7 @@ def sorted_runs(docs: DataFrame, id_col: str, text_col: str, keep: str, salts: i
         "*",
         F.substring("_norm", 1, 24).alias("_prefix"),
         F.xxhash64("_norm").alias("_hash"),
-        F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(salts)).cast("int").alias("_salt"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int").alias("_salt"),
     )
     dealt = keyed.repartitionByRange(n, "_prefix", "_hash", "_salt")
     run = Window.partitionBy("_prefix", "_hash", "_norm", "_salt")

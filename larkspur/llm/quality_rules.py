@@ -3,7 +3,7 @@
 Counts: words, code points in words, symbols, repeated lines, and words inside 8-word windows that occur twice
 or more. A text fails the base rule with fewer than 20 words or more than 30% of its words in repeated windows.
 
-The model hashes word 1- and 2-grams (a word that repeats the one before it counts as "repeat") and byte 3-grams
+The model hashes word 1- and 2-grams (a word that repeats the one before it counts as "repeat") and code point 3-grams
 into ``BUCKETS`` weights each, by frequency in the text. It is trained on at most ``sample_rows`` labelled rows
 outside the held-out fold, the share ``CALIBRATE`` of which is kept for calibrating its margin to a probability.
 Texts are scored whole, in Arrow batches, and kept from a fixed probability on.
@@ -90,25 +90,28 @@ def base_failed(c: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def gram_buckets(buf: np.ndarray, offs: np.ndarray, h: np.ndarray, row: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, row) of word grams, then of byte grams."""
+    """(bucket, row) of word grams, then of code point grams."""
     shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
     pair = mix(h[1:] + h[:-1] * np.uint64(0x9E3779B97F4A7C15))
     pair[h[1:] == h[:-1]] = _REPEAT << np.uint64(20)
     joined = row[1:] == row[:-1]
     words = (np.concatenate([h, pair[joined]]) >> shift).astype(np.int32)
     rows = np.concatenate([row, row[1:][joined]])
-    b = buf.astype(np.uint32)
-    gram = ((b[:-2] | (b[1:-1] << 8) | (b[2:] << 16)) * np.uint32(0x9E3779B1) if len(b) > 2 else np.zeros(0, np.uint32)) >> np.uint32(32 - (BUCKETS.bit_length() - 1))
-    size = np.maximum(np.diff(offs) - 2, 0)
-    at = np.arange(len(gram))
-    owner = np.repeat(np.arange(len(size)), np.diff(offs))[: len(gram)]
-    fits = at + 2 < offs[owner + 1]
-    return [(words, rows), (gram.astype(np.int32)[fits], owner[fits])]
+    head = np.flatnonzero(_HEAD[buf])
+    point = buf[head].astype(np.uint32)
+    length = np.diff(np.append(head, len(buf)))
+    for k in range(1, 4):  # the bytes of a code point after its first
+        more = np.flatnonzero(length > k)
+        point[more] |= buf[head[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    owner = np.searchsorted(offs, head, "right") - 1
+    gram = ((point[:-2] * np.uint32(0x85EBCA6B) + point[1:-1]) * np.uint32(0xC2B2AE35) + point[2:]) * np.uint32(0x9E3779B1) >> np.uint32(32 - (BUCKETS.bit_length() - 1))
+    fits = owner[:-2] == owner[2:]
+    return [(words, rows), (gram.astype(np.int32)[fits], owner[:-2][fits])]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of word grams and of byte grams, and calibration."""
+    """Weights of word grams and of code point grams, and calibration."""
 
     weights: tuple[np.ndarray, np.ndarray]
     bias: float

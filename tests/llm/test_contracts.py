@@ -114,11 +114,69 @@ def test_two_writers_cannot_commit_one_version(spark, awkward, tmp_path):
     table = sharding.ShardTable(spark, f"file://{tmp_path}/t", awkward.schema)
     table.append(awkward)
     with pytest.raises(RuntimeError, match="another writer"):
-        table.commit([], 0)
+        table.commit([], set(), 0)
     with pytest.raises(ValueError, match="no committed version"):
         sharding.ShardTable(spark, f"file://{tmp_path}/none", awkward.schema).read()
 
 
+def test_of_two_threads_one_commits(spark, awkward, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    tables = [sharding.ShardTable(spark, f"file://{tmp_path}/t", awkward.schema) for _ in range(8)]
+    tables[0].append(awkward)
+
+    def attempt(table):
+        try:
+            return table.commit([], set(), 1)
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(attempt, tables))
+    assert sorted(map(str, got)) == ["2", *["None"] * 7] and tables[0].versions() == [1, 2]
+    assert tables[0].read().count() == len(AWKWARD)
+
+
+def test_vacuum_leaves_what_others_are_writing(spark, awkward, tmp_path):
+    one, two = (sharding.ShardTable(spark, f"file://{tmp_path}/t", awkward.schema, target_bytes=1 << 20, fanout=2, base_bytes=1 << 12) for _ in range(2))
+    one.append(awkward, 4)
+    with two._folder() as folder:
+        awkward.write.parquet(folder)
+        one.compact()
+        one.vacuum(grace=0.0)
+        shards = two._listed(folder)
+        two.commit(shards, set(), two.latest())
+    assert two.read().count() == 2 * len(AWKWARD) and set(shards) < set(one.manifest())
+    files = {p for p in (tmp_path / "t").glob("shards-*/*.parquet")}
+    two.vacuum()
+    assert {p for p in (tmp_path / "t").glob("shards-*/*.parquet")} == files
+    old = tmp_path / "t" / "shards-left"
+    awkward.write.parquet(f"file://{old}")
+    reader = one.read()
+    two.vacuum(grace=3600.0)
+    assert old.exists()
+    two.vacuum(grace=0.0)
+    assert not old.exists() and reader.count() == one.read().count() == 2 * len(AWKWARD)
+
+
+def test_unfinished_versions_are_passed_over(spark, awkward, tmp_path):
+    table = sharding.ShardTable(spark, f"file://{tmp_path}/t", awkward.schema)
+    table.append(awkward)
+    (tmp_path / "t" / "_manifests" / "v00000002").write_text("part-1")
+    assert table.versions() == [1] and table.read().count() == len(AWKWARD)
+    assert table.append(awkward) == 3 and table.versions() == [1, 3] and table.read().count() == 2 * len(AWKWARD)
+
+
+def test_commits_write_the_parts_that_change(spark, awkward, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_LINES", 4)
+    table = sharding.ShardTable(spark, f"file://{tmp_path}/t", awkward.schema)
+    table.append(awkward, 2)
+    first = set(table._parts(1))
+    table.append(awkward, 2)
+    assert len(first) > 2 and len(first & set(table._parts(2))) >= len(first) - 1
+    assert table.read().count() == 2 * len(AWKWARD) and table.read(1).count() == len(AWKWARD)
+
+
 # --------------------------------------------------------------------------- repeated passages
 
 
@@ -285,6 +343,70 @@ def test_large_family_in_blocks(spark):
     assert got == want
 
 
+def _nodes(rows):
+    return {(r.doc_id, r.n_shingles): r.component_id for r in rows}
+
+
+def test_rows_that_share_an_identifier_are_one_node(spark):
+    a, b = prose(91, 100), prose(92, 100)
+    rows = [(1, a), (5, a + " tail"), (5, b), (9, b + " tail"), (5, ""), (7, ""), (7, None), (8, prose(93, 40)), (8, prose(94, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == {1: 1, 5: 1, 9: 1, 7: 7, 8: 8}
+    assert len({(r.doc_id, r.component_id) for r in got}) == 5
+    assert sorted(r.doc_id for r in near_dup.keep_one(docs).collect()) == [1, 7, 7, 8, 8]
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_large_family_of_several_components(spark, exact):
+    """Texts of one template: clusters that link within, and others near them that link with nothing."""
+    base, texts = prose(95, 200).split(), {}
+    for i in range(240):
+        c = i % 4
+        own = [*base[: 130 + 5 * (i % 3)], *prose(200 + c, 60).split()] if i % 5 else [*base[:120], *prose(300 + i, 70).split()]
+        texts[i] = " ".join(w if k != (7 * i) % len(own) else f"x{i}" for k, w in enumerate(own))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute.near_components(texts)
+    assert 4 <= len({c for _, c in want.values()}) < 120
+    for block in (16, 1000):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, block=block, exact=exact).collect()}
+        assert got == want
+
+
+def test_blocks_are_bounded_by_size_too(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SHINGLES", 600)
+    texts = {i: " ".join(w if k != i else f"x{i}" for k, w in enumerate(prose(96, 150).split())) for i in range(60)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute.near_components(texts)
+
+
+@pytest.mark.parametrize("heap", [0, 50, 10**6])
+def test_divide_skip_links_what_all_pairs_link(monkeypatch, heap):
+    import numpy as np
+
+    monkeypatch.setattr(near_dup, "HEAP", heap)
+    rng = np.random.default_rng(4)
+    cores = [rng.integers(0, 2**63, 60, dtype=np.uint64) for _ in range(6)]
+    sets = [np.unique(np.append(rng.choice(cores[i % 6], 57, replace=False), rng.integers(0, 2**63, rng.integers(1, 7), dtype=np.uint64))) for i in range(80)]
+    root = list(range(80))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def groups(links):
+        root[:] = range(80)
+        for a, b in links:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return [find(i) for i in range(80)]
+
+    pairs = [(i, j) for i in range(80) for j in range(i) if near_dup.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]
+    got = near_dup.divide_skip(np.arange(80), sets, np.full(80, 2), np.arange(80))
+    assert {tuple(sorted(x, reverse=True)) for x in got} <= set(pairs) and groups(got) == groups(pairs) and len(pairs) > 100
+
+
 # --------------------------------------------------------------------------- packing and token files
 
 
@@ -458,6 +580,23 @@ def test_mixing_meets_targets(spark, awkward, empty):
     assert again == {(r.doc_id, r.size, r.taken) for r in rows}
 
 
+@pytest.mark.parametrize("identifier", ["NULL", "7", "id % 3", "id", "IF(id % 2 = 0, NULL, 5)"])
+@pytest.mark.parametrize("text", ["'ten words ' || id || ' of its own in this short row'", "'the same nine words in each of these rows'"])
+def test_mixing_meets_targets_whatever_the_identifiers(spark, identifier, text):
+    docs = spark.range(600).selectExpr(f"CAST({identifier} AS long) AS doc_id", f"{text} AS text", "'s' || CASE WHEN id < 60 THEN 0 WHEN id < 200 THEN 1 ELSE 2 END AS source").repartition(5)
+    rows = mixing.sample_to_targets(docs, carry=True).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r._row["source"]].append(r)
+        assert 0 <= r.taken <= 3 * r.size
+    assert sorted(map(len, by.values())) == [60, 140, 400]
+    for rs in by.values():
+        assert sum(r.taken for r in rs) == pytest.approx(rs[0].target, abs=1)
+        assert sum(r.taken % r.size > 0 for r in rs) <= 1
+    shape = lambda rows: collections.Counter((r.doc_id, r._row["text"], r.taken) for r in rows)
+    assert shape(mixing.sample_to_targets(docs.repartition(2), carry=True).collect()) == shape(rows)
+
+
 def test_mixture_has_the_words_it_takes(awkward):
     taken = sum(r.taken for r in mixing.sample_to_targets(awkward).collect())
     out = mixing.mix_documents(awkward)

@@ -555,6 +555,75 @@ def test_patterns_discover_other_spellings(spark):
     assert rows[51].n_added == 0 and rows[52].spans == "" and all(rows[i].n_phone == 1 and rows[i].n_added == 0 for i in range(12))
 
 
+def _growing():
+    """Seeds teach "reach me at"; what is found there teaches "my line is", where no seed ever stands."""
+    spaced = [f"555 010 {1000 + i}" for i in range(14)]
+    texts = [f"please reach me at +1 (555) 555-01{i:02d} after noon {i}" for i in range(60)]
+    texts += [f"please reach me at {p} after dark {i}" for i, p in enumerate(spaced[:8])]
+    texts += [f"today my line is {p} as ever {i}" for i, p in enumerate(spaced[2:14])]
+    texts += [f"part of list number {2000000 + i} in stock {i}" for i in range(20)] + ["today my line is (555) 010-7777 as of now", "reach me at home", "we reach me at once"]
+    texts += [f'the key = "{i:02d}ab56cd78ef90ab12cd34ef56ab78cd90"' for i in range(6)] + ['the key = "short1234x5678yz9"', "no key here"]
+    return texts
+
+
+def _plain_patterns(texts):
+    """Accepted patterns by going through all mentions and words again and again."""
+    words = [brute.WORD.findall(t) for t in texts]
+    flat = lambda w: "".join("0" if c in "0123456789" else c for c in brute.lower(w))
+    places, edges = collections.Counter(), collections.defaultdict(collections.Counter)
+    for t, ws in zip(texts, words, strict=True):
+        pairs = list(zip(map(flat, ws), map(flat, ws[1:]), strict=False))
+        places.update(pairs)
+        for a, b, k, shape in pii.found_in(t)[1]:
+            first, last = len(brute.WORD.findall(t[:a] + "x")) - 1, len(brute.WORD.findall(t[:b])) - 1
+            kinds = [k] if k >= 0 else [j for j in range(5) if shape >> j & 1]
+            for side, at in ((0, first - 2), (1, last + 1)):
+                if 0 <= at < len(pairs):
+                    for j in kinds:
+                        edges[side, pairs[at], j][brute.lower(t[a:b]), k >= 0] += 1
+    known, good = {(x, j) for (_, _, j), e in edges.items() for x, seed in e if seed}, {}
+    while True:
+        good = {}
+        for (side, pair, j), e in edges.items():
+            worth = sum(n if (x, j) in known else n / 2 for (x, _), n in e.items())
+            if len({x for x, _ in e if (x, j) in known}) >= 5 and worth / places[pair] >= 0.7:
+                good[side, pair, j] = worth / places[pair]
+        doubt = collections.defaultdict(lambda: 1.0)
+        for key, c in good.items():
+            for x, seed in edges[key]:
+                if not seed:
+                    doubt[x, key[2]] *= 1 - c
+        new = known | {x for x, d in doubt.items() if 1 - d >= 0.7}
+        if new == known:
+            return good
+        known = new
+
+
+def test_patterns_grow_from_what_they_find(spark):
+    texts = _growing()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.extract(docs, "doc_id", "text")
+    good = pii.patterns(rows, docs, "text")
+    want = _plain_patterns(texts)
+    assert sorted((r.side, r.as_kind, round(r.confidence, 9)) for r in good.collect()) == sorted((s, k, round(c, 9)) for (s, _, k), c in want.items())
+    assert {(0, ("me", "at"), 3), (0, ("line", "is"), 3)} <= set(want)
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    for i, t in enumerate(texts):
+        hidden = t.startswith("today my line") or "555 010" in t
+        assert got[i].n_added == hidden and got[i].n_phone == ("+1" in t), t
+        assert got[i].n_secret == ("key =" in t)
+        assert got[i].n_found == got[i].n_added + got[i].n_phone + got[i].n_secret
+    last = next(i for i, t in enumerate(texts) if "7777" in t)
+    assert got[last].spans == f"phone:{texts[last].index('(555)')}:{texts[last].index('7777') + 4}"
+
+
+def test_contexts_beyond_what_is_sent_along(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(_growing())), "doc_id long, text string")
+    want = sorted(map(tuple, pii.find(docs).collect()))
+    monkeypatch.setattr(pii, "CONTEXTS", 1)
+    assert sorted(map(tuple, pii.find(docs).collect())) == want
+
+
 @pytest.mark.parametrize("text", ["a@b.c_x@d.e", "x@y", "a@b..c@d.e", "@a.b", "a@@b.c", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "1.2.3.400 1.2.3.4", "+1 +1 (555) 555-0199", "4111-1111-1111-1111 2", "٣.1.2.3.4", "1" * 50])
 def test_spans_equal_the_patterns(text):
     want = brute.personal(text)

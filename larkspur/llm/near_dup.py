@@ -415,17 +415,18 @@ def _verified(texts: DataFrame, family: DataFrame, classes: DataFrame, block: in
     member = stage(member.withColumn("band", F.floor(step).cast("int")).withColumn("half", F.floor(step + 0.5).cast("int")), "near-members")
     large = stage(member.groupBy("fam").agg(_blocks(F.col("n"), block).alias("subs")).filter("subs > 1").select("fam"), "near-large")
     task = lambda *by: F.struct(F.xxhash64(*by).alias("task"), F.lit(2).alias("side"))
-    whole = member.join(large, "fam", "left_anti").select("key", "rep", F.col("key").alias("component"), F.array(task("fam")).alias("tasks"))
+    whole = member.join(large, "fam", "left_anti").select("key", "rep", F.lit(False).alias("large"), F.array(task("fam")).alias("tasks"))
     if large.isEmpty():
-        return _searched(texts, whole, parts)
+        return _searched(_sets(texts, whole).withColumn("component", F.col("key")), parts)
     own = member.join(large, "fam")
     dealt = own
     for name in ("band", "half"):
         subs = own.groupBy("fam", name).agg(_blocks(F.col("n"), block).alias(f"{name}_subs"))
         dealt = dealt.join(subs, ["fam", name])
     place = lambda name: task(F.lit(name), "fam", name, F.pmod(F.xxhash64("key", F.lit(name)), F.col(f"{name}_subs")))
-    dealt = dealt.select("key", "rep", F.col("key").alias("component"), F.array(place("band"), place("half")).alias("tasks"))
-    links = stage(_searched(texts, whole.unionAll(dealt), parts), "near-dealt")
+    dealt = dealt.select("key", "rep", F.lit(True).alias("large"), F.array(place("band"), place("half")).alias("tasks"))
+    sets = stage(_sets(texts, whole.unionAll(dealt)), "near-sets")
+    links = stage(_searched(sets.withColumn("component", F.col("key")), parts), "near-dealt")
 
     known = components(links).select(F.col("node").alias("key"), "root")
     own = own.join(known, "key", "left").withColumn("component", F.coalesce("root", "key")).drop("root")
@@ -444,28 +445,31 @@ def _verified(texts: DataFrame, family: DataFrame, classes: DataFrame, block: in
     there = F.struct(F.col("oband").alias("band"), F.col("opart").alias("part"), F.col("osub").alias("sub"))
     across = around.select(
         "key",
-        "rep",
         "component",
         F.struct(F.xxhash64("fam", F.least(here, there), F.greatest(here, there)).alias("task"), F.when(here == there, 2).when(here < there, 0).otherwise(1).alias("side")).alias("t"),
     )
-    across = across.groupBy("key", "rep", "component").agg(F.collect_list("t").alias("tasks"))
-    return links.unionAll(_searched(texts, across, parts))
+    across = across.groupBy("key", "component").agg(F.collect_list("t").alias("tasks"))
+    return links.unionAll(_searched(sets.filter("large").select("key", "blob").join(across, "key"), parts))
 
 
-def _searched(texts: DataFrame, plan: DataFrame, parts: int) -> DataFrame:
-    """Links of the blocks of ``plan`` (key, rep: a document that has the set, component, tasks). Texts are read again; sets are never staged."""
+def _sets(texts: DataFrame, plan: DataFrame) -> DataFrame:
+    """(key, tasks, large, blob): the sets that are asked for, from their texts. Neither side is small, so none is broadcast."""
 
-    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offs in text_chunks(batch, "text"):
                 sets = shingle_sets(buf, offs)
                 part = batch.slice(lo, hi - lo)
                 same = pa.array([set_key(s) == k for s, k in zip(sets, part.column(1).to_pylist(), strict=True)])
-                out = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "component", "tasks", "blob"])
+                out = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "tasks", "large", "blob"])
                 yield out.filter(same)
 
-    wanted = texts.join(plan.withColumnRenamed("rep", "doc"), "doc").select("text", "key", "component", "tasks")
-    sets = wanted.mapInArrow(tidy(computed), "key long, component long, tasks array<struct<task:long,side:int>>, blob binary")
+    wanted = texts.join(plan.withColumnRenamed("rep", "doc").hint("merge"), "doc").select("text", "key", "tasks", "large")
+    return wanted.mapInArrow(tidy(run), "key long, tasks array<struct<task:long,side:int>>, large boolean, blob binary")
+
+
+def _searched(sets: DataFrame, parts: int) -> DataFrame:
+    """Links of the blocks that the sets (key, component, tasks, blob) are dealt to."""
     dealt = sets.select(F.explode("tasks").alias("t"), "key", "component", "blob").select("t.task", "t.side", "key", "component", "blob")
     return dealt.repartition(parts, "task").sortWithinPartitions("task", "key").mapInArrow(tidy(_search), "a long, b long")
 

@@ -58,9 +58,10 @@ def missingness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def spread(df: DataFrame, column: str, quantiles: Mapping[str, float]) -> list[Column]:
-    """Aggregates of a numeric column: least, greatest, mean and named quantiles."""
+    """Aggregates of a numeric column: least, greatest, mean and named quantiles, all from one collection of its values."""
+    all_ = F.expr(f"percentile({column}, array({', '.join(f'{q}D' for q in quantiles.values())}))")
     out = [F.min(column).alias(f"min_{column}"), F.max(column).alias(f"max_{column}"), r6(F.avg(column)).alias(f"mean_{column}")]
-    return out + [r6(F.expr(f"percentile({column}, {q}D)")).alias(f"{name}_{column}") for name, q in quantiles.items()]
+    return out + [r6(all_[i]).alias(f"{name}_{column}") for i, name in enumerate(quantiles)]
 
 
 def profile_quality(customers: DataFrame, column: str = "acctbal") -> DataFrame:

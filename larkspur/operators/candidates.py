@@ -8,6 +8,10 @@ window whose limit Spark pushes below the shuffle. Baskets are joined with thems
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,10 @@ from larkspur.operators.folds import before, top_rank
 from larkspur.sources.relations import CATEGORIES
 
 
+#: Articles up to which a catalogue is sent to all tasks: 50 MB.
+CATALOGUE = 500_000
+
+
 def as_records(ranked: DataFrame, source: str, cutoff: str, model: str = "v1") -> DataFrame:
     return ranked.select(
         "customer_id",
@@ -112,7 +120,13 @@ def content_profiles(tx: DataFrame, customers: DataFrame, tokens: DataFrame, cut
 
 
 def content(tx: DataFrame, customers: DataFrame, articles: DataFrame, cutoff: str, half_life: float = 90.0, k: int = 500, oversample: int = 100) -> DataFrame:
-    """Cosine of profile and article. The k + oversample best are ranked, then owned ones go, then k stay."""
+    """Cosine of profile and article. The k + oversample best are ranked, then owned ones go, then k stay.
+
+    A catalogue of up to CATALOGUE articles, which are counted first, is sent to all tasks as token numbers and scored in blocks of customers; pairs are
+    never shuffled. Larger ones are joined by token.
+    """
+    if articles.limit(CATALOGUE + 1).count() <= CATALOGUE:
+        return _content_blocks(tx, customers, articles, cutoff, half_life, k, oversample)
     tokens = article_tokens(articles)
     profile = content_profiles(tx, customers, tokens, cutoff, half_life)
     scored = profile.withColumnRenamed("weight", "u").join(tokens, "token").groupBy("customer_id", "article_id").agg(F.sum(F.col("u") * F.col("weight")).alias("source_score"))
@@ -122,6 +136,53 @@ def content(tx: DataFrame, customers: DataFrame, articles: DataFrame, cutoff: st
     return top_rank(best.join(owned, ["customer_id", "article_id"], "left_anti"), ["customer_id"], order, k, "source_rank")
 
 
+def _content_blocks(tx: DataFrame, customers: DataFrame, articles: DataFrame, cutoff: str, half_life: float, k: int, oversample: int) -> DataFrame:
+    from larkspur.operators.vectors import BLOCK, first_k
+
+    tokens = article_tokens(articles)
+    table = tokens.select("article_id", F.xxhash64("token").alias("token"), "weight").toArrow()
+    article, token, weight = (table.column(i).to_numpy() for i in range(3))
+    ids, row = np.unique(article, return_inverse=True)
+    vocabulary, code = np.unique(token, return_inverse=True)
+    order = np.argsort(row, kind="stable")
+    row, code, weight = row[order], code[order], weight[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    # A line per article of its tokens' numbers and weights; lines are filled up with a token that no profile has.
+    codes, weights = np.full((len(ids), len(CATEGORIES)), len(vocabulary)), np.zeros((len(ids), len(CATEGORIES)))
+    codes[row, place], weights[row, place] = code, weight
+    sent = tx.sparkSession.sparkContext.broadcast((ids, vocabulary, codes, weights))
+    cells = content_profiles(tx, customers, tokens, cutoff, half_life).select("customer_id", F.struct(F.xxhash64("token").alias("t"), "weight").alias("c"), F.lit(None).cast("long").alias("own"))
+    mine = before(tx, cutoff).join(customers.select("customer_id").distinct(), "customer_id", "left_semi").select("customer_id", "article_id").distinct()
+    both = cells.unionByName(mine.select("customer_id", F.lit(None).cast(cells.schema["c"].dataType).alias("c"), F.col("article_id").alias("own")))
+    profiles = both.groupBy("customer_id").agg(F.collect_list("c.t").alias("t"), F.collect_list("c.weight").alias("u"), F.collect_list("own").alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vocabulary, codes, weights = sent.value
+        rows = max(1, BLOCK // max(len(ids), len(vocabulary), 1))
+        for batch in batches:
+            for lo in range(0, len(batch), rows):
+                part = batch.slice(lo, rows)
+                u = np.zeros((len(part), len(vocabulary) + 1))
+                for i, (t, w) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    u[i, np.searchsorted(vocabulary, np.array(t, np.int64))] = w
+                scores = np.zeros((len(part), len(ids)))
+                for f in range(codes.shape[1]):
+                    scores += u[:, codes[:, f]] * weights[:, f]
+                scores[scores <= 0] = -np.inf
+                found = []
+                for own, line in zip(part.column(3).to_pylist(), scores, strict=True):
+                    best = first_k(line, k + oversample)
+                    found.append(best[~np.isin(ids[best], own)][:k])
+                n = [len(b) for b in found]
+                if sum(n):
+                    out = [part.column(0).take(pa.array(np.repeat(np.arange(len(part)), n))), pa.array(ids[np.concatenate(found)])]
+                    out += [pa.array(np.concatenate([line[b] for line, b in zip(scores, found, strict=True)])), pa.array(np.concatenate([np.arange(1, m + 1) for m in n]))]
+                    yield pa.RecordBatch.from_arrays(out, names=["customer_id", "article_id", "source_score", "source_rank"])
+
+    kind = profiles.schema["customer_id"].dataType.simpleString()
+    return profiles.mapInArrow(run, f"customer_id {kind}, article_id long, source_score double, source_rank long")
+
+
 # --------------------------------------------------------------------------- factors
 
 

@@ -84,10 +84,14 @@ def ranked_positives(scored: DataFrame, score: str) -> DataFrame:
 
 def rank_summary(positives: DataFrame, by: Sequence[str] = (), k: int = 12) -> DataFrame:
     """n, the upper median, the 90th percentile, and the share within k."""
-    ordered = F.array_sort(F.collect_list("rank"))
-    return positives.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.element_at(ordered, (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int")).alias("median_rank"), F.expr("percentile(rank, 0.9)").alias("p90_rank"),
-        F.avg((F.col("rank") <= k).cast("double")).alias("top_share"),
+    # Lines are counted per rank first, so a group has a line for each place of a list, however many positives it has.
+    w = Window.partitionBy(*by)
+    counted = positives.groupBy(*by, "rank").agg(F.count(F.lit(1)).alias("_c"))
+    placed = counted.withColumn("_upto", F.sum("_c").over(w.orderBy("rank"))).withColumn("_n", F.sum("_c").over(w))
+    middle = F.min(F.when(F.col("_upto") >= F.floor(F.col("_n") / 2) + 1, F.col("rank")))
+    return placed.groupBy(*by).agg(
+        F.sum("_c").alias("n"), middle.alias("median_rank"), F.expr("percentile(rank, 0.9, _c)").alias("p90_rank"),
+        (F.sum(F.when(F.col("rank") <= k, F.col("_c")).otherwise(0)) / F.sum("_c")).alias("top_share"),
     )
 
 

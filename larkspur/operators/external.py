@@ -4,48 +4,52 @@ from __future__ import annotations
 
 import threading
 import time
-from collections import OrderedDict, deque
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 MAX_CANDIDATES = 15
 
 
-class BoundedCache:
-    """The last ``size`` answers."""
+class AnswerCache:
+    """Answers with the turn of their last use; the one longest unused goes when there are more than ``size``."""
 
     def __init__(self, size: int = 128):
-        self.size, self.items, self.lock = size, OrderedDict(), threading.Lock()
+        self._size, self._turn, self._held, self._guard = size, 0, {}, threading.Lock()
 
-    def get(self, key: object) -> object | None:
-        with self.lock:
-            if key in self.items:
-                self.items.move_to_end(key)
-            return self.items.get(key)
+    def _used(self, key: object, value: object) -> None:
+        self._turn += 1
+        self._held[key] = (self._turn, value)
 
-    def put(self, key: object, value: object) -> None:
-        with self.lock:
-            self.items[key] = value
-            self.items.move_to_end(key)
-            while len(self.items) > self.size:
-                self.items.popitem(last=False)
+    def look_up(self, key: object) -> object | None:
+        with self._guard:
+            if key not in self._held:
+                return None
+            value = self._held[key][1]
+            self._used(key, value)
+            return value
+
+    def keep(self, key: object, value: object) -> None:
+        with self._guard:
+            self._used(key, value)
+            if len(self._held) > self._size:
+                del self._held[min(self._held, key=lambda k: self._held[k][0])]
 
 
-class CallLimiter:
-    """At most ``calls`` in any ``seconds``."""
+class CallBudget:
+    """At most ``calls`` in any ``seconds``: a ring of the last calls' times, in which a new call takes the oldest one's place."""
 
     def __init__(self, calls: int, seconds: float = 60.0, clock: Callable[[], float] = time.monotonic):
-        self.calls, self.seconds, self.clock, self.made, self.lock = calls, seconds, clock, deque(), threading.Lock()
+        self._ring, self._seconds, self._clock, self._guard = [float("-inf")] * calls, seconds, clock, threading.Lock()
+        self._next = 0
 
-    def allow(self) -> bool:
-        with self.lock:
-            now = self.clock()
-            while self.made and now - self.made[0] >= self.seconds:
-                self.made.popleft()
-            if len(self.made) >= self.calls:
-                return False
-            self.made.append(now)
-            return True
+    def spend(self) -> bool:
+        with self._guard:
+            now, oldest = self._clock(), self._ring[self._next]
+            free = now >= oldest + self._seconds
+            if free:
+                self._ring[self._next] = now
+                self._next = (self._next + 1) % len(self._ring)
+            return free
 
 
 @dataclass(frozen=True)
@@ -64,20 +68,20 @@ class ExternalSteps:
     """post: a stage's name and payload to its answer. Answers that fail their check are asked for again, then given up."""
 
     def __init__(self, post: Callable[[str, object], object], settings: ExternalSettings = ExternalSettings(True)):
-        self.post, self.settings, self.cache, self.limiter = post, settings, BoundedCache(), CallLimiter(settings.calls_per_minute)
+        self.post, self.settings, self.cache, self.budget = post, settings, AnswerCache(), CallBudget(settings.calls_per_minute)
 
     def ask(self, stage: str, payload: object, check: Callable[[object], object]) -> object | None:
         key = (stage, repr(payload))
-        if not self.settings.enabled or (known := self.cache.get(key)) is not None:
+        if not self.settings.enabled or (known := self.cache.look_up(key)) is not None:
             return None if not self.settings.enabled else known
         for _ in range(self.settings.attempts):
-            if not self.limiter.allow():
+            if not self.budget.spend():
                 return None
             try:
                 answer = check(self.post(stage, payload))
             except (ValueError, OSError):
                 continue
-            self.cache.put(key, answer)
+            self.cache.keep(key, answer)
             return answer
         return None
 

@@ -58,6 +58,21 @@ def recency_frequency(tx: DataFrame, articles: DataFrame, cutoff: str) -> dict[s
     }
 
 
+def history_maps(tx: DataFrame, articles: DataFrame, cutoff: str) -> DataFrame:
+    """A line per customer with history: for the article and each category a map of value to purchases and days since the last, and the purchases
+    with a filled value. All features of a customer's history then take one join on the customer."""
+    fields = ("article_id", *CATEGORIES)
+    bought = before(tx, cutoff).groupBy("customer_id", "article_id").agg(F.count(F.lit(1)).alias("n"), F.min(days_before(F.col("transaction_date"), cutoff)).alias("days"))
+    rows = bought.join(articles.select("article_id", *CATEGORIES), "article_id", "left")
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(c).cast("string").alias("value")) for i, c in enumerate(fields)])).alias("c")
+    counted = rows.select("customer_id", "n", "days", cells).filter("c.value IS NOT NULL").groupBy("customer_id", "c.field", "c.value").agg(F.sum("n").alias("n"), F.min("days").alias("days"))
+    of = lambda i, x: F.when(F.col("field") == i, x)
+    entry = F.struct("value", F.struct("n", "days"))
+    maps = [F.map_from_entries(F.collect_list(of(i, entry))).alias(f"_map_{c}") for i, c in enumerate(fields)]
+    sums = [F.sum(of(i, F.when(F.col("value") != "", F.col("n")))).alias(f"_sum_{c}") for i, c in enumerate(fields)]
+    return counted.groupBy("customer_id").agg(*maps, *sums, F.sum(of(0, F.col("n"))).alias("_total"))
+
+
 def pair_features(records: DataFrame, tx: DataFrame, articles: DataFrame, cutoff: str, sources: Sequence[str], per_source: int = PER_SOURCE) -> DataFrame:
     """A line per pair with the columns of ``feature_columns``.
 
@@ -78,18 +93,17 @@ def pair_features(records: DataFrame, tx: DataFrame, articles: DataFrame, cutoff
     out = out.withColumn("num_sources", sum((F.col(f"is_{s}") for s in sources[1:]), F.col(f"is_{sources[0]}")))
     meta = articles.select("article_id", *CATEGORIES).withColumn("_meta", F.lit(True))
     out = out.join(meta, "article_id", "left")
-    who = records.select("customer_id").distinct()
-    mine = tx.join(who, "customer_id", "left_semi")
-    out = out.join(before(mine, cutoff).select("customer_id").distinct().withColumn("_history", F.lit(True)), "customer_id", "left")
-    known = F.col("_history").isNotNull() & F.col("_meta").isNotNull()
-    shares = affinities(mine, articles, cutoff)
-    for c in CATEGORIES:
-        one = shares.filter(F.col("field") == c).select("customer_id", F.col("value").alias(c), F.col("share").alias("_share"))
-        out = out.join(one, ["customer_id", c], "left").withColumn(f"affinity_{c}", F.when(known, F.coalesce("_share", F.lit(0.0)))).drop("_share")
-    for key, part in recency_frequency(mine, articles, cutoff).items():
-        on, days, times = HISTORY_KEYS[key], f"days_since_bought_{key}", f"times_bought_{key}"
-        part = part.select("customer_id", on, F.col(days).alias("_d"), F.col(times).alias("_n"))
-        out = out.join(part, ["customer_id", on], "left").withColumns({days: F.when(known, F.coalesce("_d", F.lit(-1))), times: F.when(known, F.coalesce("_n", F.lit(0)))}).drop("_d", "_n")
+    mine = tx.join(records.select("customer_id").distinct(), "customer_id", "left_semi")
+    out = out.join(history_maps(mine, articles, cutoff), "customer_id", "left")
+    known = F.col("_total").isNotNull() & F.col("_meta").isNotNull()
+    seen = {c: F.try_element_at(F.col(f"_map_{c}"), F.col(c).cast("string")) for c in ("article_id", *CATEGORIES)}
+    share = {c: F.when(F.col(c) != "", F.coalesce(seen[c]["n"] / F.col(f"_sum_{c}"), F.lit(0.0))).otherwise(0.0) for c in CATEGORIES}
+    out = out.select(
+        *out.columns,
+        *[F.when(known, share[c]).alias(f"affinity_{c}") for c in CATEGORIES],
+        *[F.when(known, F.coalesce(seen[c]["days"], F.lit(-1))).alias(f"days_since_bought_{key}") for key, c in HISTORY_KEYS.items()],
+        *[F.when(known, F.coalesce(seen[c]["n"], F.lit(0))).alias(f"times_bought_{key}") for key, c in HISTORY_KEYS.items()],
+    )
     stats = item_stats(tx, cutoff)
     out = out.join(stats, "article_id", "left").na.fill(0, ["item_purchases_7d", "item_purchases_30d", "item_unique_buyers_30d"]).na.fill(0.0, ["item_purchase_growth"])
     return out.select("customer_id", "article_id", *feature_columns(sources))

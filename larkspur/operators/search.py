@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from larkspur.functions import taxonomy
 from larkspur.functions.scalar import ranked9, rrf, section_family
 from larkspur.functions.text import one_edit, tokens
-from larkspur.operators.candidates import dot
 from larkspur.operators.folds import top_rank
+from larkspur.operators.vectors import exact_neighbours
 
 K1, B = 1.5, 0.75
 #: Weights of the channels, of attributes and of personal preference.
@@ -90,43 +90,59 @@ def needs_enrichment(intents: DataFrame, known: DataFrame) -> DataFrame:
 
 
 _TOKEN = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)?")
+#: What a suggested phrase must be, by the complaint about it.
+_PHRASE_CHECKS: dict[str, Callable[[str, set[str]], bool]] = {
+    "has no words": lambda text, _: bool(_TOKEN.search(text)),
+    "is too long": lambda text, _: len(re.sub(r"\s+", " ", text).strip()) <= MAX_LENGTH,
+    "holds an article number": lambda text, _: not re.search(r"\b[0-9]{6,}\b", text),
+    "has words that are not allowed": lambda text, allowed: set(_TOKEN.findall(text)) <= allowed,
+}
+#: The fields of a suggestion, and whether each holds one phrase or a short list.
+_SUGGESTED = {"reformulated_query": False, "style_terms": True, "exclusions": True}
 
 
 def soft_text(value: object, allowed: set[str]) -> str:
-    """One suggested phrase: text of allowed words, short, without article numbers."""
-    if not isinstance(value, str):
-        raise ValueError("a suggestion must be text")
-    words = _TOKEN.findall(value.lower())
-    if not words or len(" ".join(value.split())) > MAX_LENGTH or re.search(r"\b\d{6,}\b", value) or not allowed.issuperset(words):
-        raise ValueError("a suggestion must be short, without article numbers, and of allowed words")
-    return " ".join(words)
+    """The words of one suggested phrase; raises with all that is wrong with it."""
+    text = value.lower() if isinstance(value, str) else ""
+    if wrong := [name for name, fits in _PHRASE_CHECKS.items() if not fits(text, allowed)]:
+        raise ValueError(f"the suggestion {value!r} {' and '.join(wrong)}")
+    return " ".join(_TOKEN.findall(text))
 
 
 def soft_intent(payload: object, allowed: set[str], query: Sequence[str], aliases: set[str]) -> dict[str, object]:
-    """A checked suggestion of an external model: a rewording, styles and exclusions. It can't name taxonomy words that the query lacks."""
-    if not isinstance(payload, dict) or set(payload) != {"reformulated_query", "style_terms", "exclusions"}:
-        raise ValueError("a suggestion has exactly a rewording, styles and exclusions")
-    words = (allowed | set(query)) - (aliases - set(query))
-    out: dict[str, object] = {"reformulated_query": None if payload["reformulated_query"] is None else soft_text(payload["reformulated_query"], words)}
-    for key in ("style_terms", "exclusions"):
-        if not isinstance(payload[key], list) or len(payload[key]) > MAX_TERMS:
-            raise ValueError(f"{key} must be a short list")
-        out[key] = list(dict.fromkeys(soft_text(v, words) for v in payload[key]))
-    return out
+    """A checked suggestion of an external model. It can't name taxonomy words that the query lacks."""
+    if not isinstance(payload, dict) or payload.keys() != _SUGGESTED.keys():
+        raise ValueError(f"a suggestion has the fields {', '.join(_SUGGESTED)} and no others")
+    usable = {w for w in {*allowed, *query} if w in query or w not in aliases}
+
+    def checked(field: str, listed: bool) -> object:
+        value = payload[field]
+        if not listed:
+            return value if value is None else soft_text(value, usable)
+        if not isinstance(value, list) or len(value) > MAX_TERMS:
+            raise ValueError(f"{field} must be a list of at most {MAX_TERMS}")
+        return list({soft_text(v, usable): None for v in value})
+
+    return {field: checked(field, listed) for field, listed in _SUGGESTED.items()}
+
+
+def _with_new(text: object, phrases: Sequence[str]) -> str:
+    """A text and those phrases after it that it doesn't have yet as a whole word or phrase."""
+    parts = dict.fromkeys(str(text).split())
+    return " ".join({**parts, **dict.fromkeys(phrases)})
 
 
 def merge_soft(intent: Mapping[str, object], soft: Mapping[str, object]) -> dict[str, object]:
     """An intent with a checked suggestion added; what is hard stays as it was."""
-    out = dict(intent)
-    styles = str(intent["style_terms"]).split()
-    out["style_terms"] = " ".join(dict.fromkeys([*styles, *soft["style_terms"]]))
-    out["exclusions"] = " ".join(dict.fromkeys([*str(intent["exclusions"]).split(), *soft["exclusions"]]))
-    words = str(intent["semantic_query"]).split()
-    extra = str(soft["reformulated_query"] or "")
-    if extra and not set(_TOKEN.findall(extra)) <= set(words):
-        words.append(extra)
-    out["semantic_query"] = " ".join([*words, *(t for t in soft["style_terms"] if t not in " ".join(words).split())])
-    return out
+    asked = str(intent["semantic_query"])
+    rewording = [] if set(_TOKEN.findall(soft["reformulated_query"] or "")) <= set(asked.split()) else [soft["reformulated_query"]]
+    reworded = " ".join([asked, *rewording]).strip()
+    return {
+        **intent,
+        "style_terms": _with_new(intent["style_terms"], soft["style_terms"]),
+        "exclusions": _with_new(intent["exclusions"], soft["exclusions"]),
+        "semantic_query": " ".join([reworded, *(t for t in soft["style_terms"] if t not in reworded.split())]).strip(),
+    }
 
 
 # --------------------------------------------------------------------------- lexical
@@ -211,13 +227,10 @@ def passes_hard() -> Column:
 def vector_search(queries: DataFrame, items: DataFrame, k: int = 200) -> DataFrame:
     """Exact best items of each query vector. queries: (query_id, embedding); items: (article_id, embedding, status).
 
-    Queries are few by contract, at most 10,000, which is counted before they are broadcast; items are scanned once.
+    Items are multiplied in blocks where their matrix is small enough to be sent to all tasks, and joined otherwise.
     """
-    n = queries.limit(10_001).count()
-    q = queries.select("query_id", F.col("embedding").alias("_q"))
-    usable = items.filter("status = 1").select("article_id", F.col("embedding").alias("_v"))
-    scored = usable.crossJoin(F.broadcast(q) if n <= 10_000 else q).select("query_id", "article_id", dot(F.col("_q"), F.col("_v")).alias("score"))
-    return top_rank(scored, ["query_id"], [ranked9(F.col("score")).desc(), "article_id"], k)
+    found = exact_neighbours(queries, items.filter("status = 1"), k, "query_id")
+    return found.select("query_id", "article_id", F.col("source_score").alias("score"), F.col("source_rank").alias("rank"))
 
 
 # --------------------------------------------------------------------------- fusion

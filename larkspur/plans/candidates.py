@@ -37,12 +37,12 @@ def records(s: SparkSession, d: str) -> DataFrame:
 
 
 def _embeddings(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "embeddings").select(F.col("vec_id").alias("article_id"), "embedding", "label", F.when(F.col("vec_id") % 7 == 0, 2).otherwise(1).alias("status"))
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("article_id"), "embedding", "label", F.when(F.exists("embedding", lambda x: x != 0), 1).otherwise(2).alias("status"))
 
 
 def _users(s: SparkSession, d: str) -> DataFrame:
-    """A stated set of query vectors: every tenth."""
-    return table(s, d, "embeddings").filter("vec_id % 10 = 0").select(F.col("vec_id").alias("customer_id"), "embedding")
+    """Every vector as a query."""
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("customer_id"), "embedding")
 
 
 def _exact(s: SparkSession, d: str, k: int = 10) -> DataFrame:
@@ -178,8 +178,8 @@ part("prof_raw", "SELECT customer_id, token, sum(w * weight) AS raw FROM bought
 part("prof", "SELECT customer_id, token, raw / sqrt(sum(raw * raw) OVER (PARTITION BY customer_id)) AS weight FROM prof_raw")
 part("cos", "SELECT p.customer_id, t.article_id, sum(p.weight * t.weight) AS s FROM prof p JOIN ato t USING (token) GROUP BY ALL")
 part("cos_top", f"SELECT * FROM cos QUALIFY {_rank('s', 'customer_id')} <= 150")
-part("emb", "SELECT vec_id AS article_id, embedding::DOUBLE[] AS e, CASE WHEN vec_id % 7 = 0 THEN 2 ELSE 1 END AS status FROM embeddings")
-part("emb_q", "SELECT vec_id AS customer_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 = 0")
+part("emb", "SELECT vec_id AS article_id, embedding::DOUBLE[] AS e, CASE WHEN list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 THEN 1 ELSE 2 END AS status FROM embeddings")
+part("emb_q", "SELECT vec_id AS customer_id, embedding::DOUBLE[] AS e FROM embeddings")
 part("lastbuy", f"SELECT customer_id, article_id, max(transaction_date) AS day FROM hist SEMI JOIN who USING (customer_id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY max(transaction_date) DESC, article_id) <= 50")
 part("imgcell", f"SELECT customer_id, exp(-ln(2.0::DOUBLE) / 45.0 * (DATE '{CUTOFF}' - day)) AS w, unnest(e) AS x, unnest(range(len(e))) AS position FROM lastbuy JOIN emb USING (article_id) WHERE status = 1")
 part("imgmean", "SELECT customer_id, position, sum(w * x) / sum(w) AS m FROM imgcell GROUP BY ALL")

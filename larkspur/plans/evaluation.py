@@ -108,15 +108,16 @@ def _item_segments(s: SparkSession, d: str) -> DataFrame:
 
 
 def _dense(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "embeddings").select("vec_id", "embedding", "label")
-    pairs = s.range(0, 200).select(F.col("id").alias("customer_id"), (F.col("id") * 2 % 500).alias("article_id"))
+    """Every pair of the candidate pool of which both have a vector."""
+    v = table(s, d, "embeddings")
+    pairs = records(s, d).select("customer_id", "article_id").distinct()
     return f.dense_scores(pairs, v.select(F.col("vec_id").alias("customer_id"), "embedding"), v.select(F.col("vec_id").alias("article_id"), "embedding"))
 
 
 def _ranker(kind: str, s: SparkSession, d: str) -> DataFrame:
     from larkspur.operators import rankers
 
-    data = scored(s, d).persist()
+    data = scored(s, d)
     cols = [x for x in f.feature_columns(SOURCES) if not x.startswith("rank_pct")]
     spec = {"trees": {"family": "trees", "options": {"trees": 8, "depth": 4}}, "pairwise": {"family": "pairwise"}, "net": {"family": "net", "options": {"iterations": 20}}}[kind]
     train = f.downsample(f.row_weights(data, "inv_sqrt_popularity"), F.col("num_sources").cast("double"), 20, 20, 7)
@@ -290,7 +291,7 @@ ORACLES = {k: compose(v) for k, v in {
     "sample_weights": "SELECT customer_id, article_id, round(greatest(0.25, least(4, if(label = 1, 1 / sqrt(greatest(item_purchases_30d, 1)), 1))) / sqrt(pool), 6) AS weight FROM plc",
     "history_weights": "SELECT customer_id, round(1 / sqrt(1 + CASE bucket WHEN '0' THEN 0 WHEN '1-2' THEN 1.5 WHEN '3-5' THEN 4 WHEN '6-10' THEN 8 WHEN '11-20' THEN 15.5 ELSE 25 END::DOUBLE), 6) AS weight FROM buc",
     "normaliser_fit": " UNION ALL ".join("SELECT '{0}' AS feature, round(avg(v), 6) AS mean, round(if(stddev_pop(v) < 1e-6, 1, stddev_pop(v)), 6) AS std FROM (SELECT {1} AS v FROM feat)".format(x, f"ln(1 + greatest(coalesce({x}, 0), 0))" if x in f.LOGGED else f"coalesce({x}, 0)::DOUBLE") for x in _NUM),
-    "dense_scores": "SELECT i AS customer_id, i * 2 % 500 AS article_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dense_score FROM range(200) r(i) JOIN embeddings a ON a.vec_id = i JOIN embeddings b ON b.vec_id = i * 2 % 500",
+    "dense_scores": "SELECT customer_id, article_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dense_score FROM rpairs JOIN embeddings a ON a.vec_id = customer_id JOIN embeddings b ON b.vec_id = article_id",
     "group_ranks": "SELECT customer_id, article_id, rank AS group_rank, round(rank / pool::DOUBLE, 6) AS group_pct FROM plc",
     "map_at_k": "SELECT customer_id, n_relevant, hits, round(ap, 6) AS ap, round(recall, 6) AS recall FROM aps",
     "ranking_metrics": f"SELECT {_SUM}, round((SELECT count(DISTINCT article_id) FROM plc WHERE rank <= 12) / (SELECT count(*) FROM art)::DOUBLE, 6) AS coverage_at_k FROM aps",

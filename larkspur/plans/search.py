@@ -13,6 +13,7 @@ from larkspur.plans.candidates import SOURCES, _embeddings, r6
 from larkspur.plans.evaluation import base_features, slates
 from larkspur.plans.sql import CUTOFF, compose, part
 from larkspur.sources.relations import articles, customers, table, transactions
+from larkspur.sources.session import shared_folder
 
 #: Queries with spelling slips, styles, negations and section words.
 TEXTS = (
@@ -27,7 +28,7 @@ def queries(s: SparkSession) -> DataFrame:
 
 
 def structured(s: SparkSession, d: str) -> DataFrame:
-    return search.structured_queries(articles(s, d), 20, 12).select("query_id", "text")
+    return search.structured_queries(articles(s, d), 20).select("query_id", "text")
 
 
 def aliases(s: SparkSession, d: str) -> DataFrame:
@@ -103,8 +104,7 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
     from larkspur.streaming import trends
 
     name = f"trend_{uuid.uuid4().hex[:8]}"
-    base = s.conf.get("spark.checkpoint.dir", None) or __import__("tempfile").mkdtemp(prefix="larkspur-")
-    out = trends.run_once(trends.windowed_popularity(trends.read_events(s, d), "7 days", "7 days"), name, f"{base}/stream-{name}")
+    out = trends.run_once(trends.windowed_popularity(trends.read_events(s, d), "7 days", "7 days"), f"{shared_folder(s)}/{name}")
     return out.select(F.col("window.start").cast("date").alias("first_day"), "item", "n")
 
 
@@ -116,7 +116,7 @@ QUERIES = {
     "typo_correct": lambda s, d: search.corrected_tokens(queries(s), aliases(s, d)).select("query_id", F.col("position").cast("long").alias("position"), "token", "corrected"),
     "intent_parse": lambda s, d: search.parse_intent(queries(s), aliases(s, d)).drop("tokens"),
     "needs_enrichment": lambda s, d: search.needs_enrichment(search.parse_intent(queries(s), aliases(s, d)), aliases(s, d).select(F.col("alias").alias("word"))),
-    "structured_queries": lambda s, d: search.structured_queries(articles(s, d), 20, 12),
+    "structured_queries": lambda s, d: search.structured_queries(articles(s, d), 20),
     "structured_retrieve": lambda s, d: search.structured_search(intents(s, d), articles(s, d)),
     "attribute_score": lambda s, d: r6(intents(s, d).join(articles(s, d), F.col("color") == F.col("colour_group_name")).select("query_id", "article_id", search.attribute_score().alias("score")), "score"),
     "hard_filter": lambda s, d: intents(s, d).join(articles(s, d), F.col("color") == F.col("colour_group_name")).filter(search.passes_hard()).select("query_id", "article_id"),
@@ -151,7 +151,7 @@ def search_metrics(s: SparkSession, d: str) -> DataFrame:
 
 _TOK = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+(?:-[a-z0-9]+)?')"
 _FAM = "CASE WHEN f LIKE '%baby%' THEN 'Baby' WHEN f LIKE '%kid%' OR f LIKE '%boy%' OR f LIKE '%girl%' OR f LIKE '%children%' THEN 'Kids' WHEN f LIKE '%men%' AND f NOT LIKE '%women%' THEN 'Menswear' WHEN f LIKE '%ladies%' OR f LIKE '%women%' THEN 'Womenswear' WHEN f LIKE '%divided%' THEN 'Divided' ELSE '' END"
-part("sq", "SELECT row_number() OVER (ORDER BY n DESC, c, t) AS query_id, lower(c || ' ' || t) AS text, n, c AS color, t AS product_type FROM (SELECT colour_group_name AS c, product_type_name AS t, count(*) AS n FROM art WHERE product_type_name <> '' GROUP BY 1, 2 HAVING count(*) >= 20 ORDER BY n DESC, c, t LIMIT 12)")
+part("sq", "SELECT row_number() OVER (ORDER BY n DESC, c, t) AS query_id, lower(c || ' ' || t) AS text, n, c AS color, t AS product_type FROM (SELECT colour_group_name AS c, product_type_name AS t, count(*) AS n FROM art WHERE product_type_name <> '' GROUP BY 1, 2 HAVING count(*) >= 20 ORDER BY n DESC, c, t LIMIT 80)")
 part("adoc", f"SELECT article_id AS doc, {_TOK.format('concat_ws(chr(32), prod_name, product_group_name, department_name, section_name)')} AS toks FROM art")
 part("ddoc", f"SELECT doc_id AS doc, {_TOK.format('text')} AS toks FROM documents")
 for _n, _src in (("a", "adoc"), ("d", "ddoc")):
@@ -229,6 +229,6 @@ ORACLES = {k: compose(v) for k, v in {
     "trending": f"SELECT article_id, {_CARD}, score, rank FROM art JOIN (SELECT article_id, count(*)::DOUBLE AS score, row_number() OVER (ORDER BY count(*) DESC, article_id) AS rank FROM tx WHERE transaction_date BETWEEN DATE '{CUTOFF}' - 6 AND DATE '{CUTOFF}' GROUP BY 1) USING (article_id) WHERE rank <= 12",
     "demo_customers": "SELECT c.customer_id, n_history, bucket, club_member_status FROM (SELECT customer_id, bucket, (SELECT count(*) FROM hist h WHERE h.customer_id = buc.customer_id) AS n_history FROM buc) b JOIN cust c USING (customer_id) QUALIFY row_number() OVER (PARTITION BY club_member_status, bucket ORDER BY c.customer_id) = 1",
     "recommendations": "SELECT customer_id, article_id, rank, concat_ws(',', if(is_recent_pop = 1, 'recent_pop', NULL), if(is_repeat_purchase = 1, 'repeat_purchase', NULL), if(is_cooccurrence = 1, 'cooccurrence', NULL)) AS sources, prod_name AS name FROM plc JOIN art USING (article_id) WHERE rank <= 12",
-    "live_or_stored": "SELECT c.customer_id, article_id::DOUBLE AS article_id, rank::DOUBLE AS rank, coalesce(origin, 'none') AS origin FROM (SELECT customer_id FROM cust WHERE customer_id <= 400) c LEFT JOIN (SELECT customer_id, article_id, rank, 'live' AS origin FROM plc WHERE rank <= 12 AND customer_id % 2 = 0 UNION ALL SELECT customer_id, article_id, rank, 'stored' FROM plc WHERE rank <= 3 AND customer_id % 2 <> 0) s ON s.customer_id = c.customer_id",
+    "live_or_stored": "SELECT c.customer_id, article_id::DOUBLE AS article_id, rank::DOUBLE AS rank, coalesce(origin, 'none') AS origin FROM cust c LEFT JOIN (SELECT customer_id, article_id, rank, 'live' AS origin FROM plc WHERE rank <= 12 AND customer_id % 2 = 0 UNION ALL SELECT customer_id, article_id, rank, 'stored' FROM plc WHERE rank <= 3 AND customer_id % 2 <> 0) s ON s.customer_id = c.customer_id",
     "stream_trending": "SELECT (DATE '1970-01-01' + (epoch(ts)::BIGINT // 604800 * 7)::INT) AS first_day, props ->> '$.k' AS item, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2",
 }.items()}

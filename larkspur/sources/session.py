@@ -22,3 +22,15 @@ def build_session(name: str = "larkspur", master: str | None = None, shuffle_par
     for key, value in {**fixed, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; only a local session may leave it unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    import tempfile
+
+    return "file://" + tempfile.mkdtemp(prefix="larkspur-")

@@ -23,8 +23,13 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return s.agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("value"))
 
 
-def run_once(stream: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Process all that is there and stop; the result is a table in memory."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, folder: str) -> DataFrame:
+    """Process all that is there and stop. Each batch writes the whole result as a table in ``folder``, the last of which is read."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/result-{batch:08d}")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(table)
+    last = query.lastProgress
+    return stream.sparkSession.read.parquet(f"{folder}/result-{last['batchId'] if last else 0:08d}")

@@ -57,12 +57,24 @@ def test_external_steps_are_checked_cached_and_limited():
     assert steps.rerank("q", ["a", "b", "c"])[0] == ["b", "a", "c"] and len(calls) == 1
     bad = external.ExternalSteps(lambda stage, payload: calls.append(stage) or "no list")
     assert bad.rerank("q", ["a"]) == (["a"], 0) and len(calls) == 3
-    limit = external.CallLimiter(1, 60, lambda: now[0])
-    assert limit.allow() and not limit.allow()
-    now[0] = 61
-    assert limit.allow()
-    cache = external.BoundedCache(2)
-    for k in "abc":
-        cache.put(k, k)
-    assert cache.get("a") is None and cache.get("c") == "c"
     assert external.ExternalSettings.from_mapping({"enabled": "yes", "calls_per_minute": "9999"}) == external.ExternalSettings(True, 600, 2)
+
+
+def test_call_budget_holds_in_any_window():
+    now = [0.0]
+    budget = external.CallBudget(2, 60, lambda: now[0])
+    got = []
+    for at in (0, 30, 59, 60, 89, 90, 119, 120):
+        now[0] = at
+        got.append(budget.spend())
+    assert got == [True, True, False, True, False, True, False, True]
+
+
+def test_answers_longest_unused_go():
+    cache = external.AnswerCache(2)
+    for k in "ab":
+        cache.keep(k, k.upper())
+    assert cache.look_up("a") == "A"
+    cache.keep("c", "C")
+    assert cache.look_up("b") is None and cache.look_up("a") == "A" and cache.look_up("c") == "C"
+    assert external.inactive("off", 3) == {"active": False, "reason": "off", "candidates": 3} and external.inactive("off") == {"active": False, "reason": "off"}

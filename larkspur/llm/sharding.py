@@ -3,9 +3,9 @@
 A table of shards is a folder of immutable Parquet files and a chain of manifest versions. An append
 writes the arriving rows as small shards; nothing that exists is rewritten. Compaction puts the live
 shards into tiers by size (tier t holds sizes from base * fanout**t), and wherever a tier has
-``fanout`` shards or more it merges runs of them into one larger shard, up to the target size. Every
-merge is one task that reads its run and writes one file, so compaction shuffles nothing; the merges of
-a round are one job, whose tasks Spark's own packing of files by size makes. Sizes are the shards' file sizes.
+``fanout`` shards or more it merges them into as few shards of about the target size as their bytes fill. Every
+merge is one task that reads a run of a tier and writes one file, so compaction shuffles nothing; the merges of
+a round are one job, a scan for each tier. Sizes are the shards' file sizes.
 
 A manifest is a set of immutable part files of up to ``PART_LINES`` shards each, so a commit only writes the parts that change. A
 commit writes its parts, then creates the file of its version, which names them, and creating it fails if it is there:
@@ -35,6 +35,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -201,41 +202,31 @@ class ShardTable:
         return 0 if size <= self.base else int(math.log(size / self.base, self.fanout)) + 1
 
     def plan(self, shards: list[Shard]) -> list[list[Shard]]:
-        """Runs to merge: neighbours in a tier, as many as fit the target, wherever a tier has ``fanout`` of them."""
+        """The tiers to merge: those with ``fanout`` shards or more, which are all under half the target."""
         tiers: dict[int, list[Shard]] = defaultdict(list)
         for s in shards:
             if s.bytes < self.target / 2:
                 tiers[self.tier(s.bytes)].append(s)
-        runs = []
-        for _, tier in sorted(tiers.items()):
-            if len(tier) < self.fanout:
-                continue
-            run: list[Shard] = []
-            for s in sorted(tier, key=lambda s: (s.bytes, s.path)):
-                if run and sum(x.bytes for x in run) + s.bytes > self.target:
-                    runs.append(run)
-                    run = []
-                run.append(s)
-            runs.append(run)
-        return [r for r in runs if len(r) > 1]
-
-    def _merged(self, runs: list[list[Shard]]) -> DataFrame:
-        """The rows of all runs, a partition for each: Spark packs files into partitions by falling size, up to the target."""
-        session = self.spark.newSession()
-        for key, value in (("maxPartitionBytes", self.target), ("openCostInBytes", 0), ("minPartitionNum", 1)):
-            session.conf.set(f"spark.sql.files.{key}", str(value))
-        return session.read.schema(self.schema).parquet(*[s.path for run in runs for s in run])
+        return [sorted(t, key=lambda s: (s.bytes, s.path)) for _, t in sorted(tiers.items()) if len(t) >= max(2, self.fanout)]
+
+    def _merged(self, tiers: list[list[Shard]]) -> DataFrame:
+        """The rows of all tiers, in as many partitions as their bytes fill targets: fewer than half as many as there were shards, and one more."""
+        parts = [self.spark.read.schema(self.schema).parquet(*[s.path for s in t]).coalesce(math.ceil(sum(s.bytes for s in t) / self.target)) for t in tiers]
+        return reduce(DataFrame.unionAll, parts)
 
     def compact(self) -> int:
         """Merge until no tier is full; a job and a version for each round."""
         version = self.latest()
-        while runs := self.plan(self.manifest(version)):
+        while tiers := self.plan(self.manifest(version)):
+            merged = [s for t in tiers for s in t]
             with self._folder() as folder:
-                self._merged(runs).write.option("compression", "zstd").parquet(folder)
+                self._merged(tiers).write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(folder)
                 made = self._listed(folder)
-                if sum(s.rows for s in made) != sum(s.rows for run in runs for s in run):
+                if sum(s.rows for s in made) != sum(s.rows for s in merged):
                     raise RuntimeError("a merge has lost or repeated rows; nothing is committed")
-                version = self.commit(made, {s.path for run in runs for s in run}, version)
+                if len(made) >= len(merged):
+                    raise RuntimeError("a merge has made as many shards as there were; nothing is committed")
+                version = self.commit(made, {s.path for s in merged}, version)
         return version
 
     def vacuum(self, keep_versions: int = 1, grace: float = GRACE) -> None:

@@ -119,6 +119,20 @@ def test_two_writers_cannot_commit_one_version(spark, awkward, tmp_path):
         sharding.ShardTable(spark, f"file://{tmp_path}/none", awkward.schema).read()
 
 
+def test_compaction_ends_however_small_scans_are(spark, awkward, tmp_path):
+    old = {k: spark.conf.get(f"spark.sql.files.{k}", None) for k in ("maxPartitionBytes", "openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        table = sharding.ShardTable(spark, f"file://{tmp_path}/t", awkward.schema)
+        table.append(awkward, 1)
+        table.compact()
+        assert len(table.manifest()) == 1 and table.read().count() == len(AWKWARD)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(f"spark.sql.files.{k}") if v is None else spark.conf.set(f"spark.sql.files.{k}", v)
+
+
 def test_of_two_threads_one_commits(spark, awkward, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 

@@ -1,7 +1,7 @@
 """Learned rankers over pair features, and the two-tower model.
 
 Spark has no list-wise boosting; rankers here are boosted trees on single pairs, logistic regression on differences
-within a customer's pairs, and a small feed-forward net. All score with ``score`` and rank with ``slate``.
+within a customer's pairs, a small feed-forward net, and the networks of ``neural``. All score with ``score`` and rank with ``slate``.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators.folds import top_rank
 from larkspur.operators.features import pairwise_rows
+from larkspur.operators.neural import NeuralRanker, fit_neural
 
 
 def _assembled(features: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -85,7 +86,7 @@ def fit_net(train: DataFrame, columns: Sequence[str], hidden: Sequence[int] = (3
     return Ranker(tuple(columns), pipe)
 
 
-def fit_from_spec(train: DataFrame, columns: Sequence[str], spec: dict) -> Ranker:
+def fit_from_spec(train: DataFrame, columns: Sequence[str], spec: dict) -> Ranker | NeuralRanker:
     """The ranker that a frozen specification names."""
     kind, options = spec.get("family", "trees"), dict(spec.get("options", {}))
     if kind == "trees":
@@ -94,6 +95,8 @@ def fit_from_spec(train: DataFrame, columns: Sequence[str], spec: dict) -> Ranke
         return fit_pairwise(train, columns, [c for c in columns if c.startswith("score_")], **options)
     if kind == "net":
         return fit_net(train, columns, **options)
+    if kind in ("cross", "list"):
+        return fit_neural(train, columns, kind, **options)
     raise ValueError(f"unknown family {kind}")
 
 
@@ -104,6 +107,9 @@ def slate(scored: DataFrame, score: str = "ranker_score", k: int = 12) -> DataFr
 # --------------------------------------------------------------------------- two towers
 
 
+Histories = list[tuple[list[int], list[float]]]
+
+
 class TwoTower:
     """Item vectors from category embeddings, user vectors as the decayed mean of their items, on one unit sphere.
 
@@ -111,58 +117,100 @@ class TwoTower:
     training pairs are a bounded sample (``pairs``). Encoding all items and users is relational, so it scales with the cluster.
     """
 
-    def __init__(self, width: int = 32, temperature: float = 0.07, rate: float = 0.05, epochs: int = 5, pairs: int = 50_000, negatives: int = 256, seed: int = 42):
-        self.width, self.temperature, self.rate, self.epochs, self.pairs, self.negatives, self.seed = width, temperature, rate, epochs, pairs, negatives, seed
+    def __init__(self, width: int = 32, temperature: float = 0.07, rate: float = 0.05, epochs: int = 5, pairs: int = 50_000, negatives: int = 256, seed: int = 42, patience: int = 5):
+        self.width, self.temperature, self.rate, self.epochs, self.pairs, self.negatives, self.seed, self.patience = width, temperature, rate, epochs, pairs, negatives, seed, patience
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
-    def fit(self, histories: list[tuple[list[int], list[float]]], positives: list[int], tokens: np.ndarray) -> TwoTower:
-        """histories: item positions and weights per example; positives: an item position each; tokens: (items, fields) of embedding rows."""
+    def _batch(self, part: np.ndarray, histories: Histories, positives: Sequence[int], tokens: np.ndarray, rng: np.random.Generator, learn: bool) -> float:
+        """Summed sampled-softmax loss of some examples; ``learn`` moves the table against its gradient."""
+        items = self.table[tokens].sum(1)
+        norm = np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
+        v = items / norm
+        users = np.stack([(np.asarray(w)[:, None] * v[h]).sum(0) if h else np.zeros(self.width) for h, w in (histories[i] for i in part)])
+        u_norm = np.maximum(np.linalg.norm(users, axis=1, keepdims=True), 1e-9)
+        u = users / u_norm
+        pool = np.concatenate([np.array([positives[i] for i in part]), rng.integers(0, len(tokens), self.negatives)])
+        logits = u @ v[pool].T / self.temperature
+        for r, i in enumerate(part):  # what the user has or will have is no negative
+            known = np.isin(pool, [*histories[i][0], positives[i]])
+            known[r] = False
+            logits[r, known] = -1e9
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        at = np.arange(len(part))
+        loss = -np.log(np.maximum(p[at, at], 1e-12)).sum()
+        if learn:
+            p[at, at] -= 1
+            p /= self.temperature * len(part)
+            gv = np.zeros_like(v)
+            np.add.at(gv, pool, p.T @ u)
+            gu = p @ v[pool]
+            gu = (gu - (gu * u).sum(1, keepdims=True) * u) / u_norm
+            for r, i in enumerate(part):
+                h, w = histories[i]
+                if h:
+                    np.add.at(gv, h, np.asarray(w)[:, None] * gu[r])
+            gi = (gv - (gv * v).sum(1, keepdims=True) * v) / norm
+            for f in range(tokens.shape[1]):
+                np.add.at(self.table, tokens[:, f], -self.rate * gi)
+        return float(loss)
+
+    def fit(self, histories: Histories, positives: list[int], tokens: np.ndarray, held: tuple[Histories, list[int]] | None = None) -> TwoTower:
+        """histories: item positions and weights per example; positives: an item position each; tokens: (items, fields) of embedding rows.
+
+        held: examples whose loss is taken after each epoch; the table of the least one stays, and ``patience`` epochs without a lesser one
+        end training. Without it all ``epochs`` are run.
+        """
         rng = np.random.default_rng(self.seed)
-        table = rng.normal(0, 0.1, (int(tokens.max()) + 1, self.width))
+        self.table = rng.normal(0, 0.1, (int(tokens.max()) + 1, self.width))
         n = min(len(positives), self.pairs)
-        self.losses = []
-        for _ in range(self.epochs):
-            total = 0.0
-            for part in np.array_split(rng.permutation(len(positives))[:n], max(1, n // 128)):
-                items = table[tokens].sum(1)
-                norm = np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
-                v = items / norm
-                users = np.stack([(np.asarray(w)[:, None] * v[h]).sum(0) if h else np.zeros(self.width) for h, w in (histories[i] for i in part)])
-                u_norm = np.maximum(np.linalg.norm(users, axis=1, keepdims=True), 1e-9)
-                u = users / u_norm
-                pool = np.concatenate([np.array([positives[i] for i in part]), rng.integers(0, len(tokens), self.negatives)])
-                logits = u @ v[pool].T / self.temperature
-                for r, i in enumerate(part):  # what the user has or will have is no negative
-                    known = np.isin(pool, [*histories[i][0], positives[i]])
-                    known[r] = False
-                    logits[r, known] = -1e9
-                p = np.exp(logits - logits.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                at = np.arange(len(part))
-                total -= np.log(np.maximum(p[at, at], 1e-12)).sum()
-                p[at, at] -= 1
-                p /= self.temperature * len(part)
-                gv = np.zeros_like(v)
-                np.add.at(gv, pool, p.T @ u)
-                gu = p @ v[pool]
-                gu = (gu - (gu * u).sum(1, keepdims=True) * u) / u_norm
-                for r, i in enumerate(part):
-                    h, w = histories[i]
-                    if h:
-                        np.add.at(gv, h, np.asarray(w)[:, None] * gu[r])
-                gi = (gv - (gv * v).sum(1, keepdims=True) * v) / norm
-                for f in range(tokens.shape[1]):
-                    np.add.at(table, tokens[:, f], -self.rate * gi)
-            self.losses.append(total / n)
-        self.table = table
+        self.losses, self.held_losses, best, self.best_epoch = [], [], None, self.epochs
+        for epoch in range(self.epochs):
+            parts = np.array_split(rng.permutation(len(positives))[:n], max(1, n // 128))
+            self.losses.append(sum(self._batch(part, histories, positives, tokens, rng, True) for part in parts) / n)
+            if held is None:
+                continue
+            self.held_losses.append(self.loss(*held, tokens))
+            if best is None or self.held_losses[-1] < min(self.held_losses[:-1]):
+                best, self.best_epoch = self.table.copy(), epoch + 1
+            elif epoch + 1 - self.best_epoch >= self.patience:
+                break
+        if best is not None:
+            self.table = best
         return self
 
+    def loss(self, histories: Histories, positives: list[int], tokens: np.ndarray) -> float:
+        """Mean loss without learning; the negatives are the same at every call."""
+        rng = np.random.default_rng(self.seed)
+        parts = np.array_split(np.arange(len(positives)), max(1, len(positives) // 128))
+        return sum(self._batch(part, histories, positives, tokens, rng, False) for part in parts) / len(positives)
+
     def items(self, tokens: np.ndarray) -> np.ndarray:
         return self._unit(self.table[tokens].sum(1))
 
+    def users(self, histories: Histories, tokens: np.ndarray) -> np.ndarray:
+        v = self.items(tokens)
+        return self._unit(np.stack([(np.asarray(w)[:, None] * v[h]).sum(0) if h else np.zeros(self.width) for h, w in histories]))
+
+    def similarity_gap(self, histories: Histories, positives: list[int], tokens: np.ndarray) -> dict[str, float]:
+        """Mean cosine of users with their positives and with items drawn at random, and the difference."""
+        u, v = self.users(histories, tokens), self.items(tokens)
+        drawn = np.random.default_rng(self.seed).integers(0, len(v), len(positives))
+        own, other = float((u * v[positives]).sum(1).mean()), float((u * v[drawn]).sum(1).mean())
+        return {"positive": own, "random": other, "gap": own - other}
+
+    @classmethod
+    def overfits(cls, histories: Histories, positives: list[int], tokens: np.ndarray, examples: int = 96, epochs: int = 80, top1: float = 0.85, most: float = 0.5, **options) -> dict[str, object]:
+        """Whether a tower trained on a few examples names their positive first among each other's, with a small loss."""
+        h, p = histories[:examples], positives[:examples]
+        model = cls(epochs=epochs, pairs=examples, **options).fit(h, p, tokens)
+        scores = model.users(h, tokens) @ model.items(tokens)[p].T
+        right = float(np.mean([scores[i, [p[j] != p[i] and p[j] not in h[i][0] for j in range(len(p))]].max(initial=-2.0) < scores[i, i] for i in range(len(p))]))
+        return {"top1": right, "loss": model.losses[-1], "passes": right >= top1 and model.losses[-1] < most}
+
 
 def two_tower_candidates(tx: DataFrame, articles: DataFrame, customers: DataFrame, cutoff: str, k: int = 500, **options) -> DataFrame:
     """Train on the purchases before the cutoff, encode all observed items and the asked-for customers, and rank exactly."""
@@ -183,7 +231,9 @@ def two_tower_candidates(tx: DataFrame, articles: DataFrame, customers: DataFram
     width = max(map(len, got.values()))
     grid = np.array([[*got[a], *[got[a][-1]] * (width - len(got[a]))] for a in ids])
     histories = [([place[a] for a in r["a"][:-1]], [1.0 / (len(r["a"]) - 1)] * (len(r["a"]) - 1)) for r in rows]
-    model.fit(histories, [place[r["a"][-1]] for r in rows], grid)
+    positives = [place[r["a"][-1]] for r in rows]
+    held = len(rows) // 10  # the rows stand in the order of a hash
+    model.fit(histories[held:], positives[held:], grid, (histories[:held], positives[:held]) if held else None)
     table = spark.createDataFrame([(t, [float(x) for x in model.table[i]]) for t, i in vocab.items()], "token string, vector array<double>")
     cells = tokens.join(F.broadcast(table), "token").select("article_id", F.posexplode("vector").alias("position", "x")).groupBy("article_id", "position").agg(F.sum("x").alias("value"))
     from larkspur.operators.vectors import unit

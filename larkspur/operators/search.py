@@ -16,7 +16,8 @@ from larkspur.functions import taxonomy
 from larkspur.functions.scalar import ranked9, rrf, section_family
 from larkspur.functions.text import one_edit, tokens
 from larkspur.operators.folds import top_rank
-from larkspur.operators.vectors import exact_neighbours
+from larkspur.operators.text_vectors import TextIndex, picture_query
+from larkspur.operators.vectors import as_vectors, exact_neighbours
 
 K1, B = 1.5, 0.75
 #: Weights of the channels, of attributes and of personal preference.
@@ -342,6 +343,22 @@ def validate_judgements(judged: DataFrame, expected: DataFrame) -> list[str]:
     return [name for name, rows in found.items() if rows.limit(1).count()]
 
 
+def frozen_rankings(query: str, row: Mapping[str, object], variants: Sequence[str]) -> tuple[dict[str, list[str]], set[str]]:
+    """A query's stored rankings by variant, and all their articles; raises where variants or identifiers are not as they should be."""
+    held = row.get("rankings")
+    faults = []
+    if not isinstance(held, dict) or held.keys() != set(variants):
+        raise ValueError(f"{query!r}: the rankings must be those of {', '.join(variants)}")
+    for name, listed in held.items():
+        if not isinstance(listed, list) or not all(isinstance(x, str) for x in listed):
+            faults.append(f"{name} is no list of identifiers")
+        elif len(set(listed)) < len(listed):
+            faults.append(f"{name} names an article twice")
+    if faults:
+        raise ValueError(f"{query!r}: {'; '.join(faults)}")
+    return {name: list(held[name]) for name in variants}, set().union(*held.values())
+
+
 class SearchEngine:
     """Intent, retrieval, fusion, optional external steps, preference: one call for a relation of queries."""
 
@@ -360,3 +377,14 @@ class SearchEngine:
             return fuse(intents, self.articles, channels, personal, limit)
         results = external_order(out := fuse(intents, self.articles, channels, None, limit), self.reorder(out))
         return personal_rerank(results, personal, limit, ordered=True) if personal is not None else results
+
+
+def build_search_engine(articles: DataFrame, text: Column, aliases: DataFrame, pictures: DataFrame | None = None, reorder: Callable[[DataFrame], DataFrame] | None = None) -> SearchEngine:
+    """An engine whose semantic channel compares texts (``TextIndex``) and whose visual one, where there are pictures, looks for what the
+    articles found by text look like."""
+    index = TextIndex(articles, text)
+
+    def visual(intents: DataFrame) -> DataFrame:
+        return vector_search(as_vectors(picture_query(index.search(intents, "semantic_query"), pictures), "query_id"), pictures)
+
+    return SearchEngine(articles, text, aliases, lambda intents: index.search(intents, "semantic_query"), visual if pictures is not None else None, reorder)

@@ -66,13 +66,13 @@ def _image_candidates(s: SparkSession, d: str) -> DataFrame:
 
 
 def _als(s: SparkSession, d: str) -> DataFrame:
-    return c.als(transactions(s, d), labels(s, d), CUTOFF, rank=16, iterations=5, k=50)
+    return c.als(transactions(s, d), labels(s, d), CUTOFF)
 
 
 def _two_tower(s: SparkSession, d: str) -> DataFrame:
     from larkspur.operators.rankers import two_tower_candidates
 
-    return two_tower_candidates(transactions(s, d), articles(s, d), labels(s, d), CUTOFF, k=50, width=16, epochs=2, pairs=2000)
+    return two_tower_candidates(transactions(s, d), articles(s, d), labels(s, d), CUTOFF)
 
 
 def _budgeted(s: SparkSession, d: str) -> DataFrame:

@@ -99,3 +99,21 @@ def holdout_batches(frozen: Mapping[str, object], batches: Sequence[DataFrame],
         line = measure(b)
         out = line if out is None else out.unionByName(line)
     return out.agg(*[F.avg(x).alias(x) for x, kind in out.dtypes if kind == "double"])
+
+
+def search_study(pairs: DataFrame, columns: Sequence[str], base: str, least_gain: float = 0.01, held: int = 4, **options) -> DataFrame:
+    """(queries, base_ndcg, learned_ndcg, kept): trees learned on some queries against the hybrid score on the others.
+
+    pairs: (query_id, article_id, relevance, features, a score named ``base``). One query in ``held``, by a hash, is for measuring only. A pair of
+    relevance 3 or more is a positive. The learned order is kept if it gains ``least_gain``.
+    """
+    kept_out = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(held)) == 0
+    rows = pairs.withColumn("label", (F.col("relevance") >= 3).cast("int"))
+    test = rankers.fit_trees(rows.filter(~kept_out), columns, **options).score(rows.filter(kept_out))
+    arms = None
+    for name, score in (("base", base), ("learned", "ranker_score")):
+        ranked = folds.top_rank(test.select("query_id", "article_id", "relevance", score), ["query_id"], [F.round(score, 9).desc(), "article_id"], None)
+        line = metrics.ndcg(ranked).withColumnRenamed("ndcg", name)
+        arms = line if arms is None else arms.join(line, "query_id")
+    out = arms.agg(F.count(F.lit(1)).alias("queries"), F.avg("base").alias("base_ndcg"), F.avg("learned").alias("learned_ndcg"))
+    return out.withColumn("kept", F.col("learned_ndcg") >= F.col("base_ndcg") + least_gain)

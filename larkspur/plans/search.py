@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from larkspur.functions import taxonomy
 from larkspur.functions.scalar import blind_key, pair_code, search_text, section_family
 from larkspur.functions.text import tokens
 from larkspur.operators import folds, metrics, search, serving
+from larkspur.operators.text_vectors import TextIndex, picture_query
 from larkspur.plans.candidates import SOURCES, _embeddings, r6
 from larkspur.plans.evaluation import base_features, slates
-from larkspur.plans.sql import CUTOFF, compose, part
+from larkspur.plans.sql import CUTOFF, PARTS, compose, part
 from larkspur.sources.relations import articles, customers, table, transactions
 from larkspur.sources.session import shared_folder
 
@@ -54,6 +57,18 @@ def semantic(s: SparkSession, d: str) -> DataFrame:
     return search.vector_search(_vectors(s, d), _embeddings(s, d))
 
 
+def text_index(s: SparkSession, d: str) -> TextIndex:
+    return TextIndex(articles(s, d), search_text(TEXT_FIELDS))
+
+
+def by_text(s: SparkSession, d: str) -> DataFrame:
+    return text_index(s, d).search(structured(s, d))
+
+
+def engine(s: SparkSession, d: str) -> search.SearchEngine:
+    return search.build_search_engine(articles(s, d), search_text(TEXT_FIELDS), aliases(s, d))
+
+
 def personal(s: SparkSession, d: str) -> DataFrame:
     return semantic(s, d).filter("rank <= 12").select("query_id", "article_id", (1.0 / F.col("rank")).alias("score"))
 
@@ -121,6 +136,11 @@ QUERIES = {
     "attribute_score": lambda s, d: r6(intents(s, d).join(articles(s, d), F.col("color") == F.col("colour_group_name")).select("query_id", "article_id", search.attribute_score().alias("score")), "score"),
     "hard_filter": lambda s, d: intents(s, d).join(articles(s, d), F.col("color") == F.col("colour_group_name")).filter(search.passes_hard()).select("query_id", "article_id"),
     "vector_search": lambda s, d: r6(semantic(s, d), "score"),
+    "text_vectors": lambda s, d: r6(text_index(s, d).items, "weight"),
+    "text_search": lambda s, d: r6(by_text(s, d), "score"),
+    "picture_queries": lambda s, d: r6(picture_query(by_text(s, d), _embeddings(s, d)), "value"),
+    "search_engine": lambda s, d: r6(engine(s, d).search(structured(s, d)).select("query_id", "article_id", "rank", "sources", "score"), "score"),
+    "search_preferences": lambda s, d: r6(serving.preferences(slates(s, d)), "score"),
     "hybrid_fuse": lambda s, d: r6(fused(s, d).select("query_id", "article_id", "rank", "sources", "score"), "score"),
     "personalised_fuse": lambda s, d: r6(fused(s, d, True).select("query_id", "article_id", "rank", "personalization", "score"), "personalization", "score"),
     "personalised_rerank": lambda s, d: r6(search.personal_rerank(fused(s, d), personal(s, d), 20).select("query_id", "article_id", "new_rank", "personal_score"), "personal_score"),
@@ -174,6 +194,16 @@ part("strc", "SELECT query_id, article_id, 3.0::DOUBLE AS score, row_number() OV
 part("chn", "SELECT query_id, article_id, c, rank, score / max(score) OVER (PARTITION BY query_id, c) AS s FROM (SELECT query_id, article_id, 'bm25' AS c, rank, score FROM lex UNION ALL SELECT query_id, article_id, 'semantic', rank, score FROM sem UNION ALL SELECT query_id, article_id, 'structured', rank, score FROM strc)")
 part("fus", "SELECT x.query_id, x.article_id, coalesce(max(s) FILTER (c = 'bm25'), 0) * 0.45::DOUBLE + coalesce(max(s) FILTER (c = 'semantic'), 0) * 0.35::DOUBLE + coalesce(max(s) FILTER (c = 'structured'), 0) * 0.2::DOUBLE + 1.6::DOUBLE * 0.15 + 1.0 / (60 + coalesce(max(rank) FILTER (c = 'bm25'), 10000)) + 1.0 / (60 + coalesce(max(rank) FILTER (c = 'semantic'), 10000)) AS query_relevance, string_agg(c, ',' ORDER BY c) AS sources FROM chn x JOIN sq ON sq.query_id = x.query_id JOIN art a ON a.article_id = x.article_id AND a.colour_group_name = color AND a.product_type_name = product_type GROUP BY 1, 2")
 part("fusr", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(query_relevance, 9) DESC, article_id) AS rank FROM fus QUALIFY rank <= 20")
+part("ttf", "SELECT doc AS article_id, ('0x' || left(md5(token), 8))::BIGINT % 4096 AS bucket, sum(tf) AS tf FROM atf GROUP BY 1, 2")
+part("tidf", "SELECT bucket, ln(((SELECT count(*) FROM art) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM ttf GROUP BY 1")
+part("tvec", "SELECT article_id, bucket, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY article_id)) AS weight FROM ttf JOIN tidf USING (bucket)")
+part("qtf", f"SELECT query_id, ('0x' || left(md5(token), 8))::BIGINT % 4096 AS bucket, count(*) AS tf FROM (SELECT query_id, unnest({_TOK.format('text')}) AS token FROM sq) GROUP BY 1, 2")
+part("qvec", "SELECT query_id, bucket, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY query_id)) AS weight FROM qtf JOIN tidf USING (bucket)")
+part("tsc", "SELECT query_id, article_id, sum(q.weight * v.weight) AS score FROM qvec q JOIN tvec v USING (bucket) GROUP BY 1, 2")
+part("tsem", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, article_id) AS rank FROM tsc QUALIFY rank <= 200")
+for _old, _new, _uses in (("chn", "tchn", {"sem": "tsem"}), ("fus", "tfus", {"chn": "tchn"}), ("fusr", "tfusr", {"fus": "tfus"})):
+    part(_new, re.sub(r"\b(" + "|".join(_uses) + r")\b", lambda m, u=_uses: u[m[0]], PARTS[_old]))
+part("pcell", "SELECT query_id, position, avg(x) AS m FROM (SELECT query_id, unnest(e)::DOUBLE AS x, unnest(range(len(e))) AS position FROM tsem JOIN emb USING (article_id) WHERE rank <= 20 AND status = 1) GROUP BY 1, 2")
 part("per", "SELECT query_id, article_id, 1.0::DOUBLE / rank AS p FROM sem WHERE rank <= 12")
 part("jud", "SELECT sq.query_id, a.article_id, (product_type = product_type_name)::INT * 2 + (color = colour_group_name)::INT AS relevance, l.rank FROM sq JOIN art a ON color = colour_group_name OR product_type = product_type_name LEFT JOIN lex l ON l.query_id = sq.query_id AND l.article_id = a.article_id")
 
@@ -212,6 +242,11 @@ ORACLES = {k: compose(v) for k, v in {
     "attribute_score": "SELECT query_id, article_id, round(if(product_type = product_type_name, 1.6, 0.6)::DOUBLE, 6) AS score FROM sq JOIN art ON color = colour_group_name",
     "hard_filter": "SELECT query_id, article_id FROM sq JOIN art ON color = colour_group_name AND product_type = product_type_name",
     "vector_search": "SELECT query_id, article_id, round(score, 6) AS score, rank FROM sem",
+    "text_vectors": "SELECT article_id, bucket, round(weight, 6) AS weight FROM tvec",
+    "text_search": "SELECT query_id, article_id, round(score, 6) AS score, rank FROM tsem",
+    "picture_queries": "SELECT query_id, position, round(m / sqrt(sum(m * m) OVER (PARTITION BY query_id)), 6) AS value FROM pcell",
+    "search_engine": "SELECT query_id, article_id, rank, sources, round(query_relevance, 6) AS score FROM tfusr",
+    "search_preferences": "SELECT customer_id, article_id, round(1.0::DOUBLE / rank, 6) AS score FROM plc WHERE rank <= 12",
     "hybrid_fuse": "SELECT query_id, article_id, rank, sources, round(query_relevance, 6) AS score FROM fusr",
     "personalised_fuse": "SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, article_id) AS rank, round(personalization, 6) AS personalization, round(score, 6) AS score FROM (SELECT f.query_id, f.article_id, coalesce(p, 0) * 0.08::DOUBLE AS personalization, query_relevance + coalesce(p, 0) * 0.08::DOUBLE AS score FROM fus f LEFT JOIN per p ON p.query_id = f.query_id AND p.article_id = f.article_id) QUALIFY rank <= 20",
     "personalised_rerank": "SELECT f.query_id, f.article_id, row_number() OVER (PARTITION BY f.query_id ORDER BY round(query_relevance + coalesce(p, 0) * 0.08::DOUBLE, 9) DESC, rank, f.article_id) AS new_rank, round(query_relevance + coalesce(p, 0) * 0.08::DOUBLE, 6) AS personal_score FROM fusr f LEFT JOIN per p ON p.query_id = f.query_id AND p.article_id = f.article_id",

@@ -117,7 +117,7 @@ class TwoTower:
     training pairs are a bounded sample (``pairs``). Encoding all items and users is relational, so it scales with the cluster.
     """
 
-    def __init__(self, width: int = 32, temperature: float = 0.07, rate: float = 0.05, epochs: int = 5, pairs: int = 50_000, negatives: int = 256, seed: int = 42, patience: int = 5):
+    def __init__(self, width: int = 64, temperature: float = 0.07, rate: float = 0.05, epochs: int = 30, pairs: int = 50_000, negatives: int = 256, seed: int = 42, patience: int = 5):
         self.width, self.temperature, self.rate, self.epochs, self.pairs, self.negatives, self.seed, self.patience = width, temperature, rate, epochs, pairs, negatives, seed, patience
 
     @staticmethod

@@ -121,7 +121,7 @@ def _ranker(kind: str, s: SparkSession, d: str) -> DataFrame:
     if kind == "cross":
         data = data.join(articles(s, d).select("article_id", "product_type_name", "colour_group_name"), "article_id")
     cols = [x for x in f.feature_columns(SOURCES) if not x.startswith("rank_pct")]
-    spec = {"trees": {"family": "trees", "options": {"trees": 8, "depth": 4}}, "pairwise": {"family": "pairwise"}, "net": {"family": "net", "options": {"iterations": 20}}, "cross": {"family": "cross", "options": {"categories": ["product_type_name", "colour_group_name"]}}, "list": {"family": "list"}}[kind]
+    spec = {"trees": {"family": "trees"}, "pairwise": {"family": "pairwise"}, "net": {"family": "net"}, "cross": {"family": "cross", "options": {"categories": ["product_type_name", "colour_group_name"]}}, "list": {"family": "list"}}[kind]
     train = f.downsample(f.row_weights(data, "inv_sqrt_popularity"), F.col("num_sources").cast("double"), 20, 20, 7)
     if kind != "trees":
         train = train.drop("weight")

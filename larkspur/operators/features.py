@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.scalar import days_before, within_days
 from larkspur.operators.candidates import dot
-from larkspur.operators.folds import before
+from larkspur.operators.folds import before, seeded
 from larkspur.sources.relations import CATEGORIES
 
 PER_SOURCE = 500
@@ -170,7 +170,7 @@ def downsample(features: DataFrame, hardness: Column, hard: int, random: int, se
     w = Window.partitionBy("customer_id", "label")
     f = f.withColumn("_h", F.row_number().over(w.orderBy(F.col("_hard").desc_nulls_last(), "article_id")))
     rest = Window.partitionBy("customer_id", "label", F.col("_h") > hard)
-    f = f.withColumn("_r", F.row_number().over(rest.orderBy(F.xxhash64(F.lit(seed), "customer_id", "article_id"))))
+    f = f.withColumn("_r", F.row_number().over(rest.orderBy(seeded(seed, "customer_id", "article_id"), "article_id")))
     return f.filter((F.col("label") == 1) | (F.col("_h") <= hard) | (F.col("_r") <= random)).drop("_hard", "_h", "_r")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalar import history_bucket
@@ -66,9 +66,14 @@ def first_customers(label_rows: DataFrame, n: int) -> DataFrame:
     return label_rows.select("customer_id").distinct().orderBy("customer_id").limit(n)
 
 
+def seeded(seed: int, *keys: str) -> Column:
+    """An arbitrary order of keys that a seed settles, the same in every engine that has md5."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+
+
 def hashed_sample(customers: DataFrame, n: int, seed: int) -> DataFrame:
     """n customers in the order of a seeded hash; the same on every run and cluster."""
-    return customers.select("customer_id").distinct().orderBy(F.xxhash64(F.lit(seed), F.col("customer_id").cast("string")), "customer_id").limit(n)
+    return customers.select("customer_id").distinct().orderBy(seeded(seed, "customer_id"), "customer_id").limit(n)
 
 
 def holdout_pool(everyone: DataFrame, *used: DataFrame) -> DataFrame:

@@ -221,6 +221,7 @@ ORACLES = {k: compose(v) for k, v in {
     "candidate_union": "SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY min(o), article_id) AS position FROM (SELECT customer_id, article_id, list_position(['recent_pop', 'repeat_purchase', 'cooccurrence'], source_name) * 1000 + source_rank AS o FROM rec WHERE source_rank <= 50) GROUP BY 1, 2",
     "candidate_lists": "SELECT customer_id, string_agg(article_id, ' ' ORDER BY r, article_id) AS article_ids FROM (SELECT customer_id, article_id, min(source_rank) AS r FROM rec WHERE source_rank <= 10 GROUP BY 1, 2) GROUP BY 1",
     "source_attribution": "SELECT customer_id, " + ", ".join(f"count(*) FILTER (source_name = '{n}') AS {n}" for n in SOURCES) + " FROM rec GROUP BY 1",
+    "customer_sample_hashed": "SELECT customer_id FROM (SELECT DISTINCT customer_id FROM cust) ORDER BY md5('42:' || customer_id), customer_id LIMIT 100",
     "apply_budget": "SELECT customer_id, article_id, " + ", ".join(f"count(*) FILTER (source_name = '{n}')::INT AS is_{n}, max(source_rank) FILTER (source_name = '{n}')::DOUBLE AS rank_{n}" for n in SOURCES) + ", count(*)::INT AS num_sources FROM rec WHERE source_rank <= CASE source_name WHEN 'recent_pop' THEN 50 WHEN 'cooccurrence' THEN 20 ELSE 500 END GROUP BY 1, 2",
     "budget_sweep": "SELECT fold, budget, round(map, 6) AS map, hits, candidates FROM sweep",
     "budget_choice": "SELECT min(budget) FILTER (round(m - b + 0.0002, 9) >= 0) AS chosen_budget, round(max(b), 6) AS best_map FROM (SELECT budget, avg(map) AS m, max(avg(map)) OVER () AS b FROM sweep GROUP BY 1)",

@@ -176,7 +176,7 @@ QUERIES = {
     "normaliser_fit": lambda s, d: r6(f.fit_normaliser(base_features(s, d), [x for x in _FEATURES if x.startswith(("item_", "times_", "affinity_"))]), "mean", "std"),
     "dense_scores": lambda s, d: r6(_dense(s, d), "dense_score"),
     "group_ranks": lambda s, d: r6(f.group_ranks(scored(s, d).select("customer_id", "article_id", "lin"), "lin").drop("lin"), "group_pct"),
-    "downsample": lambda s, d: f.downsample(scored(s, d), F.col("num_sources").cast("double"), 10, 10, 7).groupBy("label").agg(F.count(F.lit(1)).alias("n")),
+    "downsample": lambda s, d: f.downsample(scored(s, d), F.col("num_sources").cast("double"), 10, 10, 7).select("customer_id", "article_id", "label"),
     "map_at_k": lambda s, d: r6(metrics.average_precision(labels(s, d), slates(s, d).select("customer_id", "article_id", "rank")), "ap", "recall"),
     "ranking_metrics": lambda s, d: r6(_metrics_of(s, d, slates(s, d)), *_M, "coverage_at_k"),
     "ranking_metrics_by_bucket": _by_bucket,
@@ -303,6 +303,8 @@ ORACLES = {k: compose(v) for k, v in {
     "segment_report": f"SELECT 'novelty' AS dimension, novelty AS segment, {_RANKS} FROM pospl GROUP BY 2 UNION ALL SELECT 'sources', sources, {_RANKS} FROM pospl GROUP BY 2",
     "popularity_tertiles": f"SELECT popularity, {_RANKS} FROM (SELECT rank, CASE WHEN item_purchases_30d <= quantile_cont(item_purchases_30d::DOUBLE, 0.3333333333333333) OVER () THEN 'long_tail' WHEN item_purchases_30d <= quantile_cont(item_purchases_30d::DOUBLE, 0.6666666666666666) OVER () THEN 'medium' ELSE 'head' END AS popularity FROM pospl) GROUP BY 1",
     "item_segments": "SELECT segment, count(*) AS pairs, count(p.article_id) AS hits, round(count(p.article_id) / count(*)::DOUBLE, 6) AS recall FROM (SELECT customer_id, article_id, unnest([popularity, age]) AS segment FROM lab JOIN iseg USING (article_id)) l LEFT JOIN rpairs p ON p.customer_id = l.customer_id AND p.article_id = l.article_id GROUP BY 1",
+    "downsample": "SELECT customer_id, article_id, label FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, label, h > 10 ORDER BY md5('7:' || customer_id || ':' || article_id), article_id) AS r FROM "
+    "(SELECT customer_id, article_id, label, row_number() OVER (PARTITION BY customer_id, label ORDER BY num_sources DESC, article_id) AS h FROM scd)) WHERE label = 1 OR h <= 10 OR r <= 10",
     "rank_diagnostics": "SELECT count(*) AS n, round(avg(rank), 6) AS mean, round(median(rank), 6) AS median, " + ", ".join(f"round(quantile_cont(rank::DOUBLE, {q / 100}), 6) AS p{q}" for q in (10, 25, 75, 90)) + " FROM pospl",
     "feature_separability": " UNION ALL ".join(f"SELECT '{x}' AS feature, round(avg(coalesce({x}, 0)) FILTER (label = 1 AND r > 12), 6) AS buried_mean, round(avg(coalesce({x}, 0)) FILTER (label = 0 AND r <= 12), 6) AS shown_mean, count(*) FILTER (label = 1 AND r > 12) AS n_buried, count(*) FILTER (label = 0 AND r <= 12) AS n_shown FROM (SELECT *, rank AS r FROM plc) WHERE item_purchases_30d <= 5" for x in _SEP),
     "score_diagnostics": "SELECT round(avg(lin) FILTER (label = 1), 6) AS positive_mean, round(avg(lin) FILTER (label = 0), 6) AS negative_mean, round(avg(abs(lin - item_purchases_30d * 0.1::DOUBLE)), 6) AS mean_abs_diff, round(max(abs(lin - item_purchases_30d * 0.1::DOUBLE)), 6) AS max_abs_diff, round(corr(lin, item_purchases_30d * 0.1::DOUBLE), 6) AS correlation FROM scd",

@@ -9,8 +9,8 @@ A document's quality is the mean of the forward-backward marginals of "good", we
 calibrated on the same sample. Scoring reads whole texts and all lines, in Arrow batches, without a shuffle.
 
 Defined results: a text without words (null, empty, white space) scores the sample's share of good rows; rows
-that share an identifier are scored each on its own; without any usable label every text scores 0.5; empty
-tables give empty tables; labels, language, source and identifier are never inputs of a score.
+that share an identifier are scored each on its own; unless rows of both labels, with words, are in the sample
+nothing can be learned and every text, also one without words, scores 0.5; empty tables give empty tables; labels, language, source and identifier are never inputs of a score.
 """
 
 from __future__ import annotations

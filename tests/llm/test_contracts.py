@@ -529,6 +529,15 @@ def test_forward_backward_by_enumeration():
 
 
 @pytest.mark.parametrize("real", [True, False])
+@pytest.mark.parametrize("label", [0, 1])
+def test_classifier_with_labels_of_one_kind_learns_nothing(spark, awkward, label):
+    labels = spark.createDataFrame([(i, label) for i in range(1, 25)], "doc_id long, quality int")
+    model = line_crf.fit(awkward, labels)
+    assert model is line_crf.NEUTRAL
+    assert {r.score for r in line_crf.score(awkward, model).collect()} == {0.5}
+    assert line_crf.drop_low_quality(awkward, model).count() == len(AWKWARD)
+
+
 def test_quality_rules_count_as_worded(spark, data, documents, awkward, no_labels, real):
     rows = list(documents.items()) if real else AWKWARD
     got = (entry.queries()["op9_quality_rules"](spark, data) if real else quality_rules.judge(awkward, quality_rules.fit(awkward, no_labels))).collect()

@@ -63,7 +63,8 @@ def history_maps(tx: DataFrame, articles: DataFrame, cutoff: str) -> DataFrame:
     with a filled value. All features of a customer's history then take one join on the customer."""
     fields = ("article_id", *CATEGORIES)
     bought = before(tx, cutoff).groupBy("customer_id", "article_id").agg(F.count(F.lit(1)).alias("n"), F.min(days_before(F.col("transaction_date"), cutoff)).alias("days"))
-    rows = bought.join(articles.select("article_id", *CATEGORIES), "article_id", "left")
+    # dealt by customer before the cells are written out: both groupings below then need no shuffle of their own
+    rows = bought.join(articles.select("article_id", *CATEGORIES), "article_id", "left").repartition("customer_id")
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(c).cast("string").alias("value")) for i, c in enumerate(fields)])).alias("c")
     counted = rows.select("customer_id", "n", "days", cells).filter("c.value IS NOT NULL").groupBy("customer_id", "c.field", "c.value").agg(F.sum("n").alias("n"), F.min("days").alias("days"))
     of = lambda i, x: F.when(F.col("field") == i, x)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from larkspur.operators import folds, merge, metrics
 from larkspur.plans.candidates import SOURCES, _embeddings, labels, r6, records
 from larkspur.plans.sql import CUTOFF, END, START, compose, part
 from larkspur.sources.relations import CATEGORIES, articles, customers, table, transactions
+from larkspur.sources.session import shared_folder
 
 KS = (50, 100, 300)
 
@@ -114,12 +116,20 @@ def _dense(s: SparkSession, d: str) -> DataFrame:
     return f.dense_scores(pairs, v.select(F.col("vec_id").alias("customer_id"), "embedding"), v.select(F.col("vec_id").alias("article_id"), "embedding"))
 
 
+def _staged(s: SparkSession, df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: sampling, fitting and scoring read it instead of making the features again."""
+    path = f"{shared_folder(s)}/scored-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(path)
+    return s.read.parquet(path)
+
+
 def _ranker(kind: str, s: SparkSession, d: str) -> DataFrame:
     from larkspur.operators import rankers
 
     data = scored(s, d)
     if kind == "cross":
         data = data.join(articles(s, d).select("article_id", "product_type_name", "colour_group_name"), "article_id")
+    data = _staged(s, data)
     cols = [x for x in f.feature_columns(SOURCES) if not x.startswith("rank_pct")]
     spec = {"trees": {"family": "trees"}, "pairwise": {"family": "pairwise"}, "net": {"family": "net"}, "cross": {"family": "cross", "options": {"categories": ["product_type_name", "colour_group_name"]}}, "list": {"family": "list"}}[kind]
     train = f.downsample(f.row_weights(data, "inv_sqrt_popularity"), F.col("num_sources").cast("double"), 20, 20, 7)

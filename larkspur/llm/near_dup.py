@@ -3,17 +3,17 @@
 Texts become sets of hashed 5-word shingles; sets, not documents, are joined, so exact copies count once. Two sets
 link from a Jaccard similarity of 0.8 on. The search divides inverted lists into short and long ones:
 
-1. One pass over the texts gives each document its set's hash, size and a 32-byte sketch, and the shingles that
-   occur in at least ``LOCAL`` sets of a batch. Those that add up to a share ``HOT`` of all documents are long lists.
+1. One pass over the texts gives each document its set's hash and size, and the shingles that occur in at
+   least ``LOCAL`` sets of a batch. Those that add up to a share ``HOT`` of all documents are long lists.
    A list counts as long from a share of all documents and from a millionth of all shingles on, so there are at most
    a million long lists however large the corpus is, and they can be broadcast.
 2. A second pass orders each set: shingles of short lists first, then long ones by rising frequency. Linked sets
-   share one of the first n - ceil(0.8 n) + 1 shingles of both; only these are indexed, by shingle.
-3. Spark's sort merges the short lists. Lists of up to ``LIST`` sets give pairs of fitting sizes, which stay if
-   their sketches agree in 0.3 of the places (linked sets agree in 0.8 on average; a link is lost with a
-   probability under 1e-8). Sets that share one of their first two shingles are given from that list alone, which
-   32 bits of each tell, so a pair comes about once and not once for each shingle that it shares. Longer lists, which
-   only sets made of long-list shingles still have, join their members to one family without listing pairs.
+   share one of the first n - ceil(0.8 n) + 1 shingles of both; only these are indexed, by shingle, each with the
+   set's sketch: 32 places of four bits.
+3. Spark's sort merges the short lists. In each list, sets of fitting sizes whose sketches agree in a third of the
+   places are joined (linked sets agree in 0.8 on average; a link is lost with a probability under 1e-8). A list
+   gives each joined set once, with the first set that it is joined to, directly or by others: the rows grow with the
+   index, not with the pairs. Lists beyond ``WIDE``, which only sets made of long-list shingles have, join all members.
 4. Connected candidates form families. The members' sets are computed once more from their texts and searched in
    blocks of at most ``BLOCK`` sets and ``SHINGLES`` shingles. For each set the short lists of its block are heap-merged, and
    candidates that can still reach the overlap are looked up in the long lists by binary search. Links are exact
@@ -34,7 +34,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,9 @@ from larkspur.llm.components import components
 WORDS = 5
 HOT = 2e-4
 LOCAL = 3
-LIST = 256
+#: Lists up to this are compared many at once, longer ones set by set, those beyond WIDE not at all.
+LIST = 64
+WIDE = 16_384
 BLOCK = 512
 SHINGLES = 2_000_000
 #: At most so many lists are long.
@@ -55,7 +57,7 @@ LONG_LISTS = 1_000_000
 #: Short lists with more places than this are merged by sorting them together.
 HEAP = 4096
 PLACES = 32
-AGREE = 0.3
+AGREE = 1 / 3
 #: Sets smaller than this have too few shingles for their sketches to tell.
 SKETCHED_FROM = 96
 _BAND = math.log(1.25) / 2 * 1.000001
@@ -98,13 +100,27 @@ def set_key(s: np.ndarray) -> int:
 _EDGES = np.append(np.arange(PLACES, dtype=np.uint64) * np.uint64(2**64 // PLACES), np.uint64(2**64 - 1))
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """A byte of the least shingle in each of 32 ranges; 0 for an empty range."""
+_SHIFTS = np.tile(np.arange(16, dtype=np.uint64) * np.uint64(4), 2)
+_NIBBLES = np.uint64(0x1111111111111111)
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Two words of four bits, 1 to 15, of the least shingle in each of 32 ranges; 0 for an empty range."""
     at = np.searchsorted(s, _EDGES)
     full = at[:-1] < at[1:]
-    out = np.zeros(PLACES, np.uint8)
-    out[full] = ((s[at[:-1][full]] >> np.uint64(20)) % np.uint64(255)).astype(np.uint8) + 1
-    return out.tobytes()
+    out = np.zeros(PLACES, np.uint64)
+    out[full] = (s[at[:-1][full]] >> np.uint64(20)) % np.uint64(15) + _ONE
+    return (out << _SHIFTS).reshape(2, 16).sum(1, dtype=np.uint64)
+
+
+def _filled(x: np.ndarray) -> np.ndarray:
+    return (x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & _NIBBLES
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches agree in AGREE of the places that either has filled; a and b end in two words."""
+    same = np.bitwise_count(_filled(a) & ~_filled(a ^ b)).sum(-1, dtype=np.int64)
+    return same >= AGREE * np.bitwise_count(_filled(a | b)).sum(-1, dtype=np.int64)
 
 
 def least_overlap(n: int) -> int:
@@ -120,21 +136,21 @@ def linked(shared: int, n: int, m: int) -> bool:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc", "key", "n", "sketch"]
+    names = ["doc", "key", "n", "long"]
     pending, have = [], 0
 
     def hot() -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(pending), return_counts=True)
         keep = count >= LOCAL
         m = int(keep.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(token[keep].view(np.int64)), pa.array(count[keep].astype(np.int32)), pa.nulls(m, pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(token[keep].view(np.int64)), pa.array(count[keep].astype(np.int32)), pa.array(np.ones(m, bool))], names=names)
 
     for batch in batches:
         for lo, hi, buf, offs in text_chunks(batch, "text"):
             sets = shingle_sets(buf, offs)
             keys = [set_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary())], names=names
+                [batch.column(0).slice(lo, hi - lo), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(np.zeros(len(sets), bool))], names=names
             )
             pending += [s for s in sets if len(s)]
             have += sum(map(len, sets))
@@ -159,89 +175,108 @@ def prefix(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate([cold, head[long][order][: need - len(cold)]])
 
 
-_LOW = np.uint64(2**32 - 1)
-
-
-def tag(first: np.ndarray) -> int:
-    """The low halves of a set's first two indexed shingles."""
-    a, b = first[0] & _LOW, first[min(1, len(first) - 1)] & _LOW
-    return int(np.array([a | (b << np.uint64(32))]).view(np.int64)[0])
-
-
-def _said_here(token: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether a pair is to be given from this list: sets that share one of their first two shingles are given there alone."""
-    here = token.view(np.uint64) & _LOW
-    x, y = x.view(np.uint64), y.view(np.uint64)
-    x1, x2, y1, y2 = x & _LOW, x >> np.uint64(32), y & _LOW, y >> np.uint64(32)
-    shared = (x1 == y1) | (x1 == y2) | (x2 == y1) | (x2 == y2)
-    return ~shared | (((x1 == here) | (x2 == here)) & ((y1 == here) | (y2 == here)))
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (token, key, n, tag), sorted: pairs of keys, and whether they come from a long list."""
-    rest = None
-    found: list[np.ndarray] = []
-    size = 0
-
-    def work(token: np.ndarray, key: np.ndarray, n: np.ndarray, tags: np.ndarray) -> Iterator[np.ndarray]:
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-        token, key, n, tags = token[fresh], key[fresh], n[fresh], tags[fresh]
-        start = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
-        length = np.diff(np.append(start, len(token)))
-        for m in np.unique(length[length > 1]):
-            at = start[length == m]
-            if m <= LIST:
-                i, j = np.triu_indices(m, 1)
-                step = max(1, 300_000 // len(i))
-                for k in range(0, len(at), step):
-                    a, b = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
-                    fit = (5 * n[a] >= 4 * n[b]) & _said_here(token[a], tags[a], tags[b])
-                    yield np.column_stack([np.minimum(key[a], key[b])[fit], np.maximum(key[a], key[b])[fit], np.zeros(fit.sum(), np.int64)])
-            else:
-                for k in at:
-                    low = key[k : k + m].min()
-                    others = key[k : k + m]
-                    others = others[others != low]
-                    yield np.column_stack([np.full(len(others), low), others, np.ones(len(others), np.int64)])
-
-    def flush() -> pa.RecordBatch:
-        rows = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] == 1)], names=["a", "b", "sure"])
-
-    def take(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        nonlocal found, size
-        for rows in work(*columns):
-            found.append(rows)
-            size += len(rows)
-            if size > 600_000:
-                yield flush()
-                found, size = [], 0
+def roots(a: np.ndarray, b: np.ndarray, m: int) -> np.ndarray:
+    """The least node that each of m nodes is connected with by the edges (a, b)."""
+    label = np.arange(m)
+    while True:
+        was = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, was[a], low)
+        np.minimum.at(label, was[b], low)
+        label = label[label]
+        if (label == was).all():
+            return label
 
-    for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        if rest is not None:
-            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-        if not len(columns[0]):
-            continue
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
-        rest = [c[cut:] for c in columns]
-        yield from take(*[c[:cut] for c in columns])
-    if rest is not None:
-        yield from take(*rest)
-    if found:
-        yield flush()
 
+def _joined(exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (token, key, n, s0, s1), sorted: sets of each list with the first set that they are joined to."""
 
-def _similar_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not len(batch):
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PLACES) for i in (2, 3))
-        same = ((x == y) & (x > 0)).sum(1)
-        full = ((x > 0) | (y > 0)).sum(1)
-        small = batch.column(4).to_numpy() < SKETCHED_FROM
-        yield batch.select([0, 1]).filter(pa.array(small | (same >= AGREE * full)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        found: list[np.ndarray] = []
+        size = 0
+
+        def work(token: np.ndarray, key: np.ndarray, n: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> Iterator[np.ndarray]:
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+            token, key, n = token[fresh], key[fresh], n[fresh].astype(np.int64)
+            words = np.column_stack([s0[fresh], s1[fresh]]).view(np.uint64)
+            start = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+            length = np.diff(np.append(start, len(token)))
+
+            def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                """a and b: places, or one place and several."""
+                least, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+                fit = 5 * least >= 4 * most
+                return fit if exact else fit & ((least < SKETCHED_FROM) | similar(words[a], words[b]))
+
+            for m in np.unique(length[length > 1]):
+                at = start[length == m]
+                if m <= LIST:
+                    i, j = np.triu_indices(m, 1)
+                    step = max(1, 300_000 // len(i))
+                    for k in range(0, len(at), step):
+                        members = at[k : k + step, None] + np.arange(m)
+                        a, b = (np.arange(len(members))[:, None] * m + i).ravel(), (np.arange(len(members))[:, None] * m + j).ravel()
+                        members = members.ravel()
+                        fit = fits(members[a], members[b])
+                        root = roots(a[fit], b[fit], len(members))
+                        moved = np.flatnonzero(root != np.arange(len(members)))
+                        yield np.column_stack([key[members[root[moved]]], key[members[moved]]])
+                else:
+                    for k in at:
+                        yield from spread(np.arange(k, k + m), key, fits)
+
+        def spread(left: np.ndarray, key: np.ndarray, fits: Callable) -> Iterator[np.ndarray]:
+            """A long list: from its first set to all that fit it, from these to all that fit them, and so on, then from the first that is left."""
+            if len(left) > WIDE:
+                yield np.column_stack([np.full(len(left) - 1, key[left[0]]), key[left[1:]]])
+                return
+            while len(left) > 1:
+                root, front, left = left[0], left[:1], left[1:]
+                while len(front) and len(left):
+                    if len(front) <= len(left):
+                        hit = np.zeros(len(left), bool)
+                        for x in front:
+                            open_ = np.flatnonzero(~hit)
+                            hit[open_] = fits(x, left[open_])
+                    else:
+                        hit = np.array([fits(x, front).any() for x in left])
+                    front, left = left[hit], left[~hit]
+                    if len(front):
+                        yield np.column_stack([np.full(len(front), key[root]), key[front]])
+
+        def flush() -> pa.RecordBatch:
+            rows = np.concatenate(found)
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            fresh = np.append(True, (rows[1:] != rows[:-1]).any(1))
+            return pa.RecordBatch.from_arrays([pa.array(rows[fresh, 0]), pa.array(rows[fresh, 1])], names=["a", "b"])
+
+        def take(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal found, size
+            for rows in work(*columns):
+                if len(rows):
+                    found.append(rows)
+                    size += len(rows)
+                if size > 600_000:
+                    yield flush()
+                    found, size = [], 0
+
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            rest = [c[cut:] for c in columns]
+            yield from take(*[c[:cut] for c in columns])
+        if rest is not None:
+            yield from take(*rest)
+        if found:
+            yield flush()
+
+    return run
 
 
 # --------------------------------------------------------------------------- search inside a family
@@ -329,14 +364,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     parts = partitions(spark)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    profile = stage(texts.mapInArrow(tidy(_profile), "doc long, key long, n int, sketch binary"), "near-profile")
-    rows = profile.filter("sketch IS NOT NULL").select("doc", "key", "n", "sketch")
-    classes = stage(rows.filter("doc IS NOT NULL AND n > 0").groupBy("key").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), "near-classes")
+    profile = stage(texts.mapInArrow(tidy(_profile), "doc long, key long, n int, long boolean"), "near-profile")
+    rows = profile.filter("NOT long").select("doc", "key", "n")
+    classes = stage(rows.filter("doc IS NOT NULL AND n > 0").groupBy("key").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")), "near-classes")
 
     size = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0)).alias("shingles")).first()
     total = size["rows"]
     floor = max(16.0, hot * total / 3, size["shingles"] / LONG_LISTS)
-    long = profile.filter("sketch IS NULL").groupBy("key").agg(F.sum("n").alias("df")).filter(F.col("df") >= floor)
+    long = profile.filter("long").groupBy("key").agg(F.sum("n").alias("df")).filter(F.col("df") >= floor)
     found = sorted((r["df"], r["key"]) for r in long.collect())
     tokens = np.array([k for _, k in found], np.int64).view(np.uint64)
     by = np.argsort(tokens)
@@ -347,7 +382,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         seen: set[int] = set()
         for batch in batches:
             for lo, hi, buf, offs in text_chunks(batch, "text"):
-                token, key, n, tags = [], [], [], []
+                token, key, n, words = [], [], [], []
                 valid = batch.column(0).slice(lo, hi - lo).is_valid().to_pylist()
                 for s, ok in zip(shingle_sets(buf, offs), valid, strict=True):
                     k = set_key(s)
@@ -355,29 +390,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         continue
                     seen.add(k)
                     token.append(prefix(s, long_tokens, rank))
-                    tags.append(tag(token[-1]))
+                    words.append(sketch(s).view(np.int64))
                     key.append(k)
                     n.append(len(s))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if token:
                     times = [len(t) for t in token]
-                    lines = [np.concatenate(token).view(np.int64), *(np.repeat(np.array(x, k), times) for x, k in ((key, np.int64), (n, np.int32), (tags, np.int64)))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in lines], names=["token", "key", "n", "tag"])
-
-    index = texts.mapInArrow(tidy(indexed), "token long, key long, n int, tag long").repartition(parts, "token").sortWithinPartitions("token", "n", "key")
-    pairs = index.mapInArrow(tidy(_pairs), "a long, b long, sure boolean").distinct()
-    pairs = stage(pairs, "near-pairs")
-    lean = classes.select("key", "sketch", "n")
-    open_pairs = (
-        pairs.filter("NOT sure")
-        .join(lean.select(F.col("key").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a")
-        .join(lean.select(F.col("key").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b")
-        .select("a", "b", "sa", "sb", F.least("na", "nb").alias("n"))
-        .mapInArrow(tidy(_similar_sketches), "a long, b long")
-    )
-    alike = pairs.filter("NOT sure").select("a", "b") if exact else stage(open_pairs, "near-alike")
-    family = components(pairs.filter("sure").select("a", "b").unionAll(alike))
+                    lines = [np.concatenate(token).view(np.int64), *(np.repeat(np.array(x, k), times) for x, k in ((key, np.int64), (n, np.int32), *((w, np.int64) for w in zip(*words, strict=True))))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in lines], names=["token", "key", "n", "s0", "s1"])
+
+    index = texts.mapInArrow(tidy(indexed), "token long, key long, n int, s0 long, s1 long").repartition(parts, "token").sortWithinPartitions("token", "n", "key")
+    family = components(index.mapInArrow(tidy(_joined(exact)), "a long, b long").distinct())
     verified = stage(_verified(texts, family, classes, block, parts), "near-links")
     # Rows that share an identifier: their sets are linked, and rows without words take part in what the others are linked to.
     named = rows.filter("doc IS NOT NULL")

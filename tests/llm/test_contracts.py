@@ -743,3 +743,23 @@ def test_pipeline_stages(spark, data, documents):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, data).collect()
     assert sum(p.length for p in pieces) == sum(len(x) for x in brute.token_ids([r.text for r in kept["mixture"]], "word_bpe_49k.json"))
     assert [p.length for p in corpus_pipeline.run(spark, data).collect()].__len__() == len(pieces)
+
+
+@pytest.mark.parametrize("m", [2, 40, 300])
+def test_lists_give_a_row_for_each_joined_set_and_not_for_each_pair(m):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(m)
+    bases = [rng.integers(1, 2**63, n, dtype=np.uint64) for n in (400, 800, 1600)]
+    sets = []
+    for i in range(m):  # each set has 9 of 10 shingles of its base
+        base = bases[i % 3]
+        sets.append(np.sort(np.concatenate([rng.permutation(base)[: len(base) * 9 // 10], rng.integers(1, 2**63, len(base) // 10, dtype=np.uint64)])))
+    order = sorted(range(m), key=lambda i: (len(sets[i]), i))
+    words = np.array([near_dup.sketch(sets[i]) for i in order]).view(np.int64)
+    lines = [np.repeat([7, 9], m), np.tile(order, 2), np.tile([len(sets[i]) for i in order], 2).astype(np.int32), *(np.tile(w, 2) for w in words.T)]
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in lines], names=["token", "key", "n", "s0", "s1"])
+    for exact in (False, True):
+        got = [tuple(r.values()) for batch in near_dup._joined(exact)(iter([rows.slice(0, m + 1), rows.slice(m + 1)])) for r in batch.to_pylist()]
+        assert sorted(got) == [(i % 3, i) for i in sorted(range(3, m), key=lambda i: (i % 3, i))]

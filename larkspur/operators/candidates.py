@@ -111,10 +111,13 @@ def article_tokens(articles: DataFrame) -> DataFrame:
 
 
 def content_profiles(tx: DataFrame, customers: DataFrame, tokens: DataFrame, cutoff: str, half_life: float = 90.0) -> DataFrame:
-    """(customer_id, token, weight): unit vectors of decayed purchases. Customers without any have no lines."""
+    """(customer_id, token, weight): unit vectors of decayed purchases. Customers without any have no lines.
+
+    Tokens are several lines of long strings for an article, which Spark's estimate from the files doesn't know, so they are never broadcast.
+    """
     mine = before(tx, cutoff).join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
     bought = mine.groupBy("customer_id", "article_id").agg(F.sum(decay(F.col("transaction_date"), cutoff, half_life)).alias("w"))
-    raw = bought.join(tokens, "article_id").groupBy("customer_id", "token").agg(F.sum(F.col("w") * F.col("weight")).alias("raw"))
+    raw = bought.join(tokens.hint("merge"), "article_id").groupBy("customer_id", "token").agg(F.sum(F.col("w") * F.col("weight")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("customer_id")))
     return raw.withColumn("weight", F.col("raw") / norm).select("customer_id", "token", "weight")
 

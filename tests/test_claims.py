@@ -1,6 +1,7 @@
 """Functions that no registered query reaches, on small data."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -101,3 +102,22 @@ def test_search_engine_from_text_to_result(spark, data):
 def test_relations_as_views(spark, data):
     relations.register(spark, data)
     assert spark.sql("SELECT count(*) FROM transactions").first()[0] == spark.read.parquet(f"{data}/lineitem.parquet").count()
+
+
+def _broadcasts(df):
+    """The subtrees of a plan below its broadcast exchanges."""
+    lines = df._jdf.queryExecution().sparkPlan().treeString().splitlines()
+    depth = [len(re.match(r"[ :+\-]*", x)[0]) for x in lines]
+    joins = [i for i, x in enumerate(lines) if "Broadcast" in x and "Join" in x]
+    out = []
+    for i in joins:
+        sides = [j for j in range(i + 1, len(lines)) if depth[j] == depth[i] + 3 and all(x > depth[i] for x in depth[i + 1 : j + 1])]
+        built = sides[0] if "BuildLeft" in lines[i] else sides[1]
+        end = next((j for j in range(built + 1, len(lines)) if depth[j] <= depth[built]), len(lines))
+        out.append("\n".join(lines[built:end]))
+    return out
+
+
+def test_tokens_of_a_catalogue_are_not_broadcast(spark, data):
+    profiles = candidates.QUERIES["content_profiles"](spark, data)
+    assert not [x for x in _broadcasts(profiles) if "Generate" in x]

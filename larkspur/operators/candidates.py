@@ -20,7 +20,7 @@ from larkspur.operators.folds import before, top_rank
 from larkspur.sources.relations import CATEGORIES
 
 
-#: Articles up to which a catalogue is sent to all tasks: 50 MB.
+#: Classes of articles with the same tokens up to which a catalogue is sent to all tasks: 50 MB, and 8 bytes for each article.
 CATALOGUE = 500_000
 
 
@@ -125,61 +125,88 @@ def content_profiles(tx: DataFrame, customers: DataFrame, tokens: DataFrame, cut
 def content(tx: DataFrame, customers: DataFrame, articles: DataFrame, cutoff: str, half_life: float = 90.0, k: int = 500, oversample: int = 100) -> DataFrame:
     """Cosine of profile and article. The k + oversample best are ranked, then owned ones go, then k stay.
 
-    A catalogue of up to CATALOGUE articles, which are counted first, is sent to all tasks as token numbers and scored in blocks of customers; pairs are
-    never shuffled. Larger ones are joined by token.
+    Articles with the same tokens have the same score, so classes of them are scored. Up to CATALOGUE classes, which are counted first, are sent to all
+    tasks as token numbers and scored in blocks of customers; pairs are never shuffled. More are joined by token.
     """
-    if articles.limit(CATALOGUE + 1).count() <= CATALOGUE:
+    if _classes(articles, k + oversample).limit(CATALOGUE + 1).count() <= CATALOGUE:
         return _content_blocks(tx, customers, articles, cutoff, half_life, k, oversample)
     tokens = article_tokens(articles)
     profile = content_profiles(tx, customers, tokens, cutoff, half_life)
-    scored = profile.withColumnRenamed("weight", "u").join(tokens, "token").groupBy("customer_id", "article_id").agg(F.sum(F.col("u") * F.col("weight")).alias("source_score"))
+    scored = profile.withColumnRenamed("weight", "u").join(tokens.hint("merge"), "token").groupBy("customer_id", "article_id").agg(F.sum(F.col("u") * F.col("weight")).alias("source_score"))
     order = [ranked9(F.col("source_score")).desc(), "article_id"]
     best = top_rank(scored, ["customer_id"], order, k + oversample, "_r").drop("_r")
     owned = before(tx, cutoff).select("customer_id", "article_id").distinct()
     return top_rank(best.join(owned, ["customer_id", "article_id"], "left_anti"), ["customer_id"], order, k, "source_rank")
 
 
+def _classes(articles: DataFrame, most: int) -> DataFrame:
+    """(t, ids): hashes of the tokens that a class of articles has, and its ``most`` least articles; no list of that length can hold others."""
+    tokens = F.transform(F.array(*[F.struct(F.lit(c).alias("field"), F.trim(F.coalesce(F.col(c), F.lit(""))).alias("value")) for c in CATEGORIES]), lambda p: F.when(p["value"] != "", F.xxhash64(F.concat_ws("=", p["field"], p["value"]))))
+    numbered = articles.select("article_id", F.array_compact(tokens).alias("t")).filter(F.size("t") > 0)
+    return top_rank(numbered, ["t"], ["article_id"], most, "_r").groupBy("t").agg(F.array_sort(F.collect_list("article_id")).alias("ids"))
+
+
+def best_of_classes(scores: np.ndarray, first: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best articles of a row of class scores, rounded to nine decimals, and their classes; of equal ones the least. Class c has
+    ids[first[c] : first[c + 1]]; scores of -inf are left out."""
+    open_ = np.flatnonzero(scores > -np.inf)
+    q = np.floor(scores[open_] * 1e9 + 0.5)
+    if len(q) > k:
+        least = np.partition(q, len(q) - k)[len(q) - k]
+        open_, q = open_[q >= least], q[q >= least]
+    order = np.argsort(-q, kind="stable")
+    open_, q = open_[order], q[order]
+    n = first[open_ + 1] - first[open_]
+    if n.sum() > k:
+        enough = q >= q[np.searchsorted(np.cumsum(n), k)]
+        open_, q, n = open_[enough], q[enough], n[enough]
+    at = np.repeat(first[open_] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    order = np.lexsort((ids[at], -np.repeat(q, n)))[:k]
+    return ids[at[order]], np.repeat(open_, n)[order]
+
+
 def _content_blocks(tx: DataFrame, customers: DataFrame, articles: DataFrame, cutoff: str, half_life: float, k: int, oversample: int) -> DataFrame:
-    from larkspur.operators.vectors import BLOCK, first_k
+    from larkspur.operators.vectors import BLOCK
 
     tokens = article_tokens(articles)
-    table = tokens.select("article_id", F.xxhash64("token").alias("token"), "weight").toArrow()
-    article, token, weight = (table.column(i).to_numpy() for i in range(3))
-    ids, row = np.unique(article, return_inverse=True)
-    vocabulary, code = np.unique(token, return_inverse=True)
-    order = np.argsort(row, kind="stable")
-    row, code, weight = row[order], code[order], weight[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    # A line per article of its tokens' numbers and weights; lines are filled up with a token that no profile has.
-    codes, weights = np.full((len(ids), len(CATEGORIES)), len(vocabulary)), np.zeros((len(ids), len(CATEGORIES)))
-    codes[row, place], weights[row, place] = code, weight
-    sent = tx.sparkSession.sparkContext.broadcast((ids, vocabulary, codes, weights))
+    table = _classes(articles, k + oversample).toArrow()
+    listed, members = table.column("t").combine_chunks(), table.column("ids").combine_chunks()
+    ids, first = members.flatten().to_numpy(), members.offsets.to_numpy().astype(np.int64)
+    first = first - first[0] if len(first) else np.zeros(1, np.int64)
+    vocabulary, code = np.unique(listed.flatten().to_numpy(), return_inverse=True)
+    size = np.diff(listed.offsets.to_numpy()) if len(listed) else np.zeros(0, np.int64)
+    row, place = np.repeat(np.arange(len(size)), size), np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    # A line per class of its tokens' numbers; lines are filled up with a token that no profile has.
+    codes, weights = np.full((len(size), len(CATEGORIES)), len(vocabulary), np.int32), 1.0 / np.sqrt(np.maximum(size, 1))
+    codes[row, place] = code
+    sent = tx.sparkSession.sparkContext.broadcast((ids, first, vocabulary, codes, weights))
     cells = content_profiles(tx, customers, tokens, cutoff, half_life).select("customer_id", F.struct(F.xxhash64("token").alias("t"), "weight").alias("c"), F.lit(None).cast("long").alias("own"))
     mine = before(tx, cutoff).join(customers.select("customer_id").distinct(), "customer_id", "left_semi").select("customer_id", "article_id").distinct()
     both = cells.unionByName(mine.select("customer_id", F.lit(None).cast(cells.schema["c"].dataType).alias("c"), F.col("article_id").alias("own")))
     profiles = both.groupBy("customer_id").agg(F.collect_list("c.t").alias("t"), F.collect_list("c.weight").alias("u"), F.collect_list("own").alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vocabulary, codes, weights = sent.value
-        rows = max(1, BLOCK // max(len(ids), len(vocabulary), 1))
+        ids, first, vocabulary, codes, weights = sent.value
+        rows = max(1, BLOCK // max(len(codes), len(vocabulary), 1))
         for batch in batches:
             for lo in range(0, len(batch), rows):
                 part = batch.slice(lo, rows)
                 u = np.zeros((len(part), len(vocabulary) + 1))
                 for i, (t, w) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     u[i, np.searchsorted(vocabulary, np.array(t, np.int64))] = w
-                scores = np.zeros((len(part), len(ids)))
+                scores = np.zeros((len(part), len(codes)))
                 for f in range(codes.shape[1]):
-                    scores += u[:, codes[:, f]] * weights[:, f]
+                    scores += u[:, codes[:, f]] * weights
                 scores[scores <= 0] = -np.inf
-                found = []
+                found, valued = [], []
                 for own, line in zip(part.column(3).to_pylist(), scores, strict=True):
-                    best = first_k(line, k + oversample)
-                    found.append(best[~np.isin(ids[best], own)][:k])
+                    best, of = best_of_classes(line, first, ids, k + oversample)
+                    new = np.flatnonzero(~np.isin(best, own))[:k]
+                    found.append(best[new])
+                    valued.append(line[of[new]])
                 n = [len(b) for b in found]
                 if sum(n):
-                    out = [part.column(0).take(pa.array(np.repeat(np.arange(len(part)), n))), pa.array(ids[np.concatenate(found)])]
-                    out += [pa.array(np.concatenate([line[b] for line, b in zip(scores, found, strict=True)])), pa.array(np.concatenate([np.arange(1, m + 1) for m in n]))]
+                    out = [part.column(0).take(pa.array(np.repeat(np.arange(len(part)), n))), pa.array(np.concatenate(found)), pa.array(np.concatenate(valued)), pa.array(np.concatenate([np.arange(1, m + 1) for m in n]))]
                     yield pa.RecordBatch.from_arrays(out, names=["customer_id", "article_id", "source_score", "source_rank"])
 
     kind = profiles.schema["customer_id"].dataType.simpleString()

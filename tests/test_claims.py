@@ -121,3 +121,19 @@ def _broadcasts(df):
 def test_tokens_of_a_catalogue_are_not_broadcast(spark, data):
     profiles = candidates.QUERIES["content_profiles"](spark, data)
     assert not [x for x in _broadcasts(profiles) if "Generate" in x]
+
+
+def test_articles_with_the_same_tokens_are_sent_once(spark, monkeypatch):
+    day = "1998-01-01"
+    fields = "product_type_name string, product_group_name string, colour_group_name string, section_name string, garment_group_name string, department_name string"
+    articles = spark.createDataFrame([(i, *(f"{c}{i % 3}" if c != "e" or i % 3 else "" for c in "abcdef")) for i in range(60)], f"article_id long, {fields}")
+    tx = spark.createDataFrame([(1, 0, day), (1, 3, day), (1, 1, day), (2, 5, day)], "customer_id long, article_id long, transaction_date string").withColumn("transaction_date", F.to_date("transaction_date"))
+    shape = lambda df: sorted(map(tuple, df.select("customer_id", "source_rank", "article_id", F.round("source_score", 6)).collect()))
+    found = lambda: shape(candidates.c.content(tx, tx.select("customer_id"), articles, day, k=25, oversample=4))
+    monkeypatch.setattr(candidates.c, "CATALOGUE", 0)
+    joined = found()
+    sent = []
+    monkeypatch.setattr(candidates.c, "CATALOGUE", 3)  # 60 articles, three sets of tokens
+    blocks = candidates.c._content_blocks
+    monkeypatch.setattr(candidates.c, "_content_blocks", lambda *a: sent.append(1) or blocks(*a))
+    assert found() == joined and len(joined) == 25 + 19 and sent

@@ -164,11 +164,14 @@ def bm25_index(docs: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, D
 
 
 def bm25_search(queries: DataFrame, docs: DataFrame, id_col: str, text: Column, k: int = 200) -> DataFrame:
-    """(query_id, doc, score, rank). A token that a query repeats counts as often. Only the queries' tokens are looked up."""
+    """(query_id, doc, score, rank). A token that a query repeats counts as often. Only the queries' tokens are looked up.
+
+    Postings and lengths have lines for each word and document, whatever the files' size, and are never broadcast.
+    """
     p, terms, length = bm25_index(docs, id_col, text)
     wanted = query_tokens(queries).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
     mean = F.broadcast(length.agg(F.avg("length").alias("mean_length")))
-    hits = wanted.join(terms, "token").join(p, "token").join(length, "doc").crossJoin(mean)
+    hits = wanted.join(terms, "token").join(p.hint("merge"), "token").join(length.hint("merge"), "doc").crossJoin(mean)
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     scored = hits.groupBy("query_id", "doc").agg(F.sum(part).alias("score"))
     return top_rank(scored, ["query_id"], [ranked9(F.col("score")).desc(), "doc"], k)
@@ -204,7 +207,7 @@ def structured_search(intents: DataFrame, articles: DataFrame, k: int = 400) ->
     i = i.join(fam, F.col("section") == F.col("_f"), "left").filter("_t IS NOT NULL OR _c IS NOT NULL OR _f IS NOT NULL")
     keyed = i.withColumn("_key", F.coalesce(F.concat(F.lit("t:"), "_t"), F.concat(F.lit("c:"), "_c"), F.concat(F.lit("f:"), "_f")))
     keys = F.explode(F.array(F.concat(F.lit("t:"), "product_type_name"), F.concat(F.lit("c:"), "colour_group_name"), F.concat(F.lit("f:"), section_family(F.col("section_name"))))).alias("_key")
-    both = keyed.join(a.select("*", keys), "_key")
+    both = keyed.join(a.select("*", keys).hint("merge"), "_key")
     fits = (F.col("_t").isNull() | (F.col("_t") == F.col("product_type_name"))) & (F.col("_c").isNull() | (F.col("_c") == F.col("colour_group_name"))) & (F.col("_f").isNull() | (F.col("_f") == section_family(F.col("section_name"))))
     kind, colour, family = _parts()
     scored = both.filter(fits).select("query_id", "article_id", (kind.cast("double") * 2 + colour.cast("double") + family.cast("double")).alias("score"))
@@ -250,7 +253,7 @@ def fuse(intents: DataFrame, articles: DataFrame, channels: Mapping[str, DataFra
     best = F.max("score").over(Window.partitionBy("query_id", "channel"))
     scaled = long.withColumn("_s", F.when(best > 0, F.col("score") / best).otherwise(0.0))
     wide = scaled.groupBy("query_id", "article_id").pivot("channel", list(WEIGHTS)).agg(F.max("_s").alias("s"), F.min("rank").alias("r"))
-    all_ = wide.join(intents, "query_id").join(articles.select("article_id", "product_type_name", "colour_group_name", "section_name"), "article_id").filter(passes_hard())
+    all_ = wide.join(intents, "query_id").join(articles.select("article_id", "product_type_name", "colour_group_name", "section_name").hint("merge"), "article_id").filter(passes_hard())
     value = sum((F.coalesce(F.col(f"{n}_s"), F.lit(0.0)) * w for n, w in WEIGHTS.items()), F.lit(0.0)) + attribute_score() * ATTRIBUTES
     for n in ("bm25", "semantic"):
         value = value + rrf(F.coalesce(F.col(f"{n}_r"), F.lit(UNRANKED)))

@@ -1,6 +1,7 @@
 """Each operator against a plain version of its contract, on real rows and on awkward ones."""
 
 import collections
+import random
 import zlib
 
 import pyarrow.parquet as pq
@@ -300,6 +301,25 @@ def test_passages_against_plain_alignment(documents, spark):
     assert shared and set(shared) <= set(covered) and hit >= 0.99 * sum(map(len, shared.values()))
 
 
+@pytest.mark.parametrize("hot", [4, substring_dedup.HOT])
+def test_every_exact_run_of_fifty_words(spark, hot):
+    rng = random.Random(5)
+    base, rows = prose(91, 1200).split(), {}
+    for i in range(1, 161):
+        w = []
+        for _ in range(rng.randrange(1, 5)):
+            a = rng.randrange(1100)
+            w += [f"own{rng.randrange(10**6)}" for _ in range(rng.randrange(40))] + base[a : a + rng.choice([49, 50, 51, 53, 57, 63, 70])]
+            w += ["again"] * rng.choice([0, 0, 0, 40, 50, 60, 120]) + ["to", "and", "fro"] * rng.choice([0, 0, 17, 25])
+        rows[i] = w
+    found = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string").repartition(6), hot=hot).collect()
+    covered = collections.defaultdict(set)
+    for r in found:
+        covered[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+    shared = brute.exact_runs(rows, 50)
+    assert len(shared) > 100 and all(places <= covered[i] for i, places in shared.items())
+
+
 def test_words_in_order_of_long_gaps(monkeypatch):
     import numpy as np
 

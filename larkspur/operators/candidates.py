@@ -103,6 +103,12 @@ def copurchase(tx: DataFrame, customers: DataFrame, cutoff: str, days: int = 90,
 # --------------------------------------------------------------------------- content
 
 
+def token_list() -> Column:
+    """The tokens of an article's filled categories."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.trim(F.coalesce(F.col(c), F.lit(""))).alias("value")) for c in CATEGORIES])
+    return F.transform(F.filter(pairs, lambda p: p["value"] != ""), lambda p: F.concat_ws("=", p["field"], p["value"]))
+
+
 def article_tokens(articles: DataFrame) -> DataFrame:
     """(article_id, token, weight): a unit vector over the filled categories."""
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.trim(F.coalesce(F.col(c), F.lit(""))).alias("value")) for c in CATEGORIES])

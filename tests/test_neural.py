@@ -151,3 +151,27 @@ def test_tables_are_built_once(spark, tmp_path):
     build = lambda: built.append(1) or spark.range(3)
     got = [experiments.load_or_build(spark, f"{tmp_path}/t", build).count() for _ in range(2)]
     assert got == [3, 3] and len(built) == 1
+
+
+def test_a_batch_of_two_towers_touches_only_its_own_items():
+    class Watched(np.ndarray):
+        most = 0
+
+        def __getitem__(self, at):
+            if isinstance(at, np.ndarray):
+                Watched.most = max(Watched.most, at.size)
+            return np.asarray(super().__getitem__(at))
+
+    rng = np.random.default_rng(4)
+    tokens = np.stack([rng.integers(0, 20, 5000), 20 + rng.integers(0, 30, 5000)], axis=1)
+    histories = [([3, 9, 3], [0.5, 0.25, 0.25]), ([], []), ([4000], [1.0])]
+    model = TwoTower(width=4, negatives=6, rate=1.0)
+    start = rng.normal(0, 1, (50, 4))
+    call = lambda table, learn: (setattr(model, "table", table), model._batch(np.arange(3), histories, [7, 8, 9], tokens, np.random.default_rng(1), learn))[1]
+    moved = start.copy().view(Watched)
+    loss = call(moved, True)
+    assert Watched.most <= 2 * (4 + 3 + 6)
+    for i, j in ((tokens[3, 0], 1), (tokens[7, 1], 2), (tokens[4000, 0], 0)):
+        near = start.copy()
+        near[i, j] += 1e-6
+        assert (call(near, False) - loss) / 1e-6 / 3 == pytest.approx(float(start[i, j] - np.asarray(moved)[i, j]), abs=1e-4)

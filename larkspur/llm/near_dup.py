@@ -11,7 +11,8 @@ link from a Jaccard similarity of 0.8 on. The search divides inverted lists into
    share one of the first n - ceil(0.8 n) + 1 shingles of both; only these are indexed, by shingle, each with the
    set's sketch: 32 places of four bits.
 3. Spark's sort merges the short lists. In each list, sets of fitting sizes whose sketches agree in a third of the
-   places are joined (linked sets agree in 0.8 on average; a link is lost with a probability under 1e-8). A list
+   places are joined (linked sets agree in 0.8 on average; a link is lost with a probability under 1e-8); those of fewer than
+   ``SKETCHED_FROM`` shingles where they differ in no more places than linked sets can, so that no link is lost. A list
    gives each joined set once, with the first set that it is joined to, directly or by others: the rows grow with the
    index, not with the pairs. Lists beyond ``WIDE``, which only sets made of long-list shingles have, join all members.
 4. Connected candidates form families. The members' sets are computed once more from their texts and searched in
@@ -58,7 +59,7 @@ LONG_LISTS = 1_000_000
 HEAP = 4096
 PLACES = 32
 AGREE = 1 / 3
-#: Sets smaller than this have too few shingles for their sketches to tell.
+#: Sketches of sets smaller than this are compared by the places where they differ, which no link is lost by.
 SKETCHED_FROM = 96
 _BAND = math.log(1.25) / 2 * 1.000001
 _ONE = np.uint64(1)
@@ -123,6 +124,14 @@ def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same >= AGREE * np.bitwise_count(_filled(a | b)).sum(-1, dtype=np.int64)
 
 
+def within(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sketches differ in no more places than those of linked sets can; sizes: of both sets together.
+
+    Linked sets have at most a ninth of ``sizes`` shingles that are in one of them only, and each changes one place at most.
+    """
+    return 9 * np.bitwise_count(_filled(a ^ b)).sum(-1, dtype=np.int64) <= sizes
+
+
 def least_overlap(n: int) -> int:
     """ceil(0.8 n): what a set of n shares with any linked one."""
     return -(-4 * n // 5)
@@ -208,7 +217,7 @@ def _joined(exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 """a and b: places, or one place and several."""
                 least, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
                 fit = 5 * least >= 4 * most
-                return fit if exact else fit & ((least < SKETCHED_FROM) | similar(words[a], words[b]))
+                return fit if exact else fit & np.where(least < SKETCHED_FROM, within(words[a], words[b], least + most), similar(words[a], words[b]))
 
             for m in np.unique(length[length > 1]):
                 at = start[length == m]

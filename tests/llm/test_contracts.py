@@ -783,3 +783,52 @@ def test_lists_give_a_row_for_each_joined_set_and_not_for_each_pair(m):
     for exact in (False, True):
         got = [tuple(r.values()) for batch in near_dup._joined(exact)(iter([rows.slice(0, m + 1), rows.slice(m + 1)])) for r in batch.to_pylist()]
         assert sorted(got) == [(i % 3, i) for i in sorted(range(3, m), key=lambda i: (i % 3, i))]
+
+
+def test_small_sets_that_share_a_shingle_are_joined_only_where_they_can_be_linked():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    fresh = lambda n: rng.integers(1, 2**63, n, dtype=np.uint64)
+
+    def joined(sets):
+        words = np.array([near_dup.sketch(s) for s in sets]).view(np.int64)
+        order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
+        lines = [np.full(len(sets), 7), np.array(order), np.array([len(sets[i]) for i in order], np.int32), *words[order].T]
+        rows = pa.RecordBatch.from_arrays([pa.array(x) for x in lines], names=["token", "key", "n", "s0", "s1"])
+        return [tuple(r.values()) for batch in near_dup._joined(False)(iter([rows])) for r in batch.to_pylist()]
+
+    common = fresh(1)
+    assert not joined([np.unique(np.append(common, fresh(39))) for _ in range(300)])
+    for n in [*range(1, 140)] * 4:  # as far apart as linked sets can be
+        own = min(n // 9, (2 * n) // 18)
+        shared = fresh(n - own)
+        x, y = (np.unique(np.concatenate([shared, fresh(own)])) for _ in range(2))
+        assert near_dup.linked(len(shared), len(x), len(y)) and len(joined([x, y])) == 1
+        more = np.unique(np.append(x, fresh(len(x) // 4)))
+        assert near_dup.linked(len(x), len(x), len(more)) and len(joined([x, more])) == 1
+
+
+def shuffled(spark):
+    """The shuffle files that the session's folders hold."""
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f.rsplit("/", 1)[-1] for f in found.split("\n") if "/shuffle_" in f}
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from larkspur.llm import common
+
+    before = shuffled(spark)
+    for several in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", several)
+        rows = common.stage(spark.range(1000).repartition(3, "id").groupBy(F.expr("id % 7").alias("k")).count(), "test")
+        for _ in range(50):  # files go in the background
+            if left := shuffled(spark) - before:
+                time.sleep(0.1)
+        assert not left
+        assert sorted(map(tuple, rows.collect()))[0] == (0, 143)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert spark.conf.get(common.CLEANUP, None) is None

@@ -832,3 +832,15 @@ def test_a_staged_table_leaves_no_shuffle_files(spark):
         assert sorted(map(tuple, rows.collect()))[0] == (0, 143)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert spark.conf.get(common.CLEANUP, None) is None
+
+
+def test_seeds_go_once_their_places_are_joined(spark, awkward):
+    import pathlib
+
+    from larkspur.llm import common
+
+    folder = pathlib.Path(common.shared_dir(spark).removeprefix("file:"), "larkspur")
+    before = {p.name for p in folder.glob("*")}
+    rows = substring_dedup.repeated_passages(awkward)
+    assert {p.name.split("-")[0] for p in folder.glob("*") if p.name not in before} == {"matches", "chains"}
+    assert {(7, 6), (8, 6), (10, 9)} <= {(r.doc_id, r.ref_doc_id) for r in rows.collect()}

@@ -162,3 +162,17 @@ def test_slabs_of_articles_give_the_exact_best(spark):
     for cells in (100, 500, 10_000):
         assert key(vectors.rank_slabs(users, "customer_id", items, 25, cells)) == want
     assert vectors.rank_slabs(users, "customer_id", items.limit(0), 25).count() == 0
+
+
+def test_factors_are_made_in_whole_rounds_of_the_cores(spark, monkeypatch):
+    from pyspark.ml.recommendation import ALS
+
+    fits = []
+    fit = ALS._fit
+    monkeypatch.setattr(ALS, "_fit", lambda self, rows: fits.append((self.getNumUserBlocks(), self.getNumItemBlocks(), rows.count())) or fit(self, rows))
+    day = "1998-01-01"
+    tx = spark.createDataFrame([(c, (c * 7 + i) % 20, day) for c in range(30) for i in range(4)] + [(0, 0, day)], "customer_id int, article_id int, day string").select("customer_id", "article_id", F.to_date("day").alias("transaction_date"))
+    got = candidates.c.als(tx, tx.filter("customer_id < 9"), day, rank=4, iterations=2, k=20).collect()
+    assert len(got) == 9 * 20 and [n for *_, n in fits] == [120]
+    cores = spark.sparkContext.defaultParallelism
+    assert all(n % cores == 0 and cores <= n for n in fits[0][:2])
